@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["roles", "cleaning"]
+MODULES = ["roles", "cleaning", "quality"]
 
 
 def load_all() -> tuple[dict, dict]:

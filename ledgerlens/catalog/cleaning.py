@@ -265,7 +265,7 @@ def c12(t):
 
 @query(
     "C13_elapsed_days",
-    "SELECT project_id, date_diff('day',CAST(recommendation_date AS DATE),DATE '2002-01-01') days FROM r_works",
+    "SELECT project_id, date_diff('day',CAST(recommendation_date AS DATE),DATE '2002-01-01') AS days FROM r_works",
 )
 def c13(t):
     return t.works.select("project_id", dates.elapsed_days(F.col("recommendation_date"), F.lit(AS_OF)).alias("days"))
@@ -314,8 +314,8 @@ def c16(t):
 
 @query(
     "C17_format_inr",
-    """SELECT project_id, CASE WHEN v IS NULL THEN 'N/A' WHEN v>=1e7 THEN '₹'||printf('%.2f',v/1e7)||' Cr'
-    WHEN v>=1e5 THEN '₹'||printf('%.2f',v/1e5)||' Lakh' ELSE '₹'||format('{:,.0f}',v) END inr FROM
+    f"""SELECT project_id, CASE WHEN v IS NULL THEN 'N/A' WHEN v>=1e7 THEN '₹'||printf('%.2f',{R('v/1e7', 2)})||' Cr'
+    WHEN v>=1e5 THEN '₹'||printf('%.2f',{R('v/1e5', 2)})||' Lakh' ELSE '₹'||format('{{:,.0f}}',v) END inr FROM
     (SELECT project_id, round_even(recommended_amount,0)*CASE WHEN CAST(work_id AS BIGINT)%3=0 THEN 1000e0 ELSE 1e0 END v FROM r_works)""",
 )
 def c17(t):

@@ -99,8 +99,8 @@ def money(c: Column, digits: int = 2) -> Column:
 def format_inr(c: Column) -> Column:
     return (
         F.when(c.isNull() | F.isnan(c), F.lit("N/A"))
-        .when(c >= 1e7, F.format_string("₹%.2f Cr", c / 1e7))
-        .when(c >= 1e5, F.format_string("₹%.2f Lakh", c / 1e5))
+        .when(c >= 1e7, F.concat(F.lit("₹"), fixed(c / 1e7, 2), F.lit(" Cr")))
+        .when(c >= 1e5, F.concat(F.lit("₹"), fixed(c / 1e5, 2), F.lit(" Lakh")))
         .otherwise(F.concat(F.lit("₹"), F.format_number(c, 0)))
     )
 

@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.dates import parse_bool, parse_date
 from ledgerlens.functions.numbers import parse_amount
-from ledgerlens.functions.text import batch_payment_status, normalize_text
+from ledgerlens.functions.text import STREAM_STATUS, batch_payment_status, normalize_text
 from ledgerlens.schemas import AMOUNT_COLUMNS, BOOL_COLUMNS, DATE_COLUMNS, RAW_COLUMNS
 
 
-def clean_table(raw: DataFrame, table: str, status_aliases: dict[str, str] | None = None) -> DataFrame:
-    """Type every known column of a raw table, then drop rows that repeat exactly."""
+def clean_table(raw: DataFrame, table: str, shared_status: bool = True) -> DataFrame:
+    """Type every known column of a raw table, then drop rows that repeat exactly.
+
+    ``shared_status`` also translates the spellings of the event stream (``payment success``).
+    """
+    aliases = STREAM_STATUS if shared_status else None
     known = set(RAW_COLUMNS[table].values())
     out = []
     for name in raw.columns:
@@ -26,7 +30,7 @@ def clean_table(raw: DataFrame, table: str, status_aliases: dict[str, str] | Non
         elif name in BOOL_COLUMNS:
             out.append(parse_bool(c).alias(name))
         elif name == "payment_status":
-            out.append(batch_payment_status(normalize_text(c), status_aliases).alias(name))
+            out.append(batch_payment_status(normalize_text(c), aliases).alias(name))
         else:
             out.append(normalize_text(c).alias(name))
     if table == "expenditures":

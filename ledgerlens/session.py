@@ -8,9 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, app: str = "ledgerlens") -> SparkSession:
+def local_session(
+    cpus: int | str = 8, shuffle_partitions: int = 8, app: str = "ledgerlens", extra: dict[str, str] | None = None
+) -> SparkSession:
     """A local session for tests and the bench; on a cluster the caller brings its own session."""
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -19,8 +21,10 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, app: str = "
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
-        .getOrCreate()
     )
+    for name, value in (extra or {}).items():
+        builder = builder.config(name, value)
+    return builder.getOrCreate()
 
 
 def shared_folder(spark: SparkSession) -> str:
