@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["roles", "cleaning", "quality"]
+MODULES = ["roles", "cleaning", "quality", "master"]
 
 
 def load_all() -> tuple[dict, dict]:
