@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["roles", "cleaning", "quality", "master"]
+MODULES = ["roles", "cleaning", "quality", "master", "rules"]
 
 
 def load_all() -> tuple[dict, dict]:
