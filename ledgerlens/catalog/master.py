@@ -75,7 +75,9 @@ def master_of(t, **options):
 
 
 def features_of(t):
-    return features.create_project_features(master_of(t, extremes=True), t.payments, AS_OF)
+    return features.create_project_features(
+        master_of(t, extremes=True), t.payments, AS_OF, peers=features.peer_statistics(t.works)
+    )
 
 
 def as_days(df):

@@ -69,13 +69,9 @@ def rule_sql(trigger, severity, message, extra=""):
     (SELECT *, coalesce({trigger},false) fired, {severity} sev, {message} msg FROM k_rec)"""
 
 
-def show(t, rule, *more):
-    out = records(t).withColumn("r", rule)
-    return out.select("project_id", "r.triggered", "r.severity", "r.score", "r.message", *more)
-
-
-def p(t):
-    return rules.payload_of(records(t))
+def show(t, rule):
+    ready, payload = rules.prepare(records(t), NOW)
+    return ready.select("project_id", rule(payload).alias("r")).select("project_id", "r.triggered", "r.severity", "r.score", "r.message")
 
 
 MISSING = "list_filter([" + ",".join(
@@ -219,19 +215,18 @@ SINGLE = {
     "R13_expected_progress": ("PROGRESS-001", lambda q: rules.expected_progress_rule(q, NOW)),
     "R15_significant_gap": (
         "PROGRESS-003",
-        lambda q: rules.significant_gap(rules.expected_progress(q, NOW), rules.progress_of(q)),
+        lambda q: rules.significant_gap(q, NOW),
     ),
     "R16_duration_mismatch": ("PROGRESS-004", lambda q: rules.duration_mismatch(q, NOW)),
 }
 for _name, (_id, _rule) in SINGLE.items():
-    query(_name, SQL[_id])(lambda t, rule=_rule: show(t, rule(p(t))))
+    query(_name, SQL[_id])(lambda t, rule=_rule: show(t, rule))
 
 
 @query("R14_progress_gap", f"SELECT project_id, {EXPECTED} expected, {GAP} gap FROM k_rec")
 def r14(t):
-    q = p(t)
-    expected = rules.expected_progress(q, NOW)
-    return records(t).select("project_id", expected.alias("expected"), rules.progress_gap(expected, rules.progress_of(q)).alias("gap"))
+    ready, q = rules.prepare(records(t), NOW)
+    return ready.select("project_id", rules.expected_progress(q, NOW).alias("expected"), q["__gap"].alias("gap"))
 
 
 @query(
@@ -287,12 +282,12 @@ cte(
 )
 
 
-def evaluated(t):
-    return rules.evaluate_features(features_of(t))
+def evaluated(t, triggered_only=False):
+    return rules.evaluate_features(features_of(t), triggered_only)
 
 
 def rollup_of(t):
-    return rules.project_rollup(evaluated(t))
+    return rules.project_rollup(evaluated(t, triggered_only=True))
 
 
 @query("R18_dataset_rules", "SELECT project_id, rule_id, triggered, severity, score FROM k_rules")
@@ -325,7 +320,7 @@ def r19(t):
     FROM (SELECT *, CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END o FROM k_rules WHERE triggered) GROUP BY 1""",
 )
 def a05(t):
-    return rules.aggregate_rule_events(rules.rule_events(evaluated(t)))
+    return rules.aggregate_rule_events(rules.rule_events(evaluated(t, triggered_only=True)))
 
 
 @query(
@@ -353,7 +348,7 @@ def a08(t):
     "SELECT project_id, rule_id, rule_name, severity, score, reason FROM k_rules WHERE triggered AND severity='CRITICAL' AND rule_id='GHOST-002'",
 )
 def p05(t):
-    found = rules.filter_events(rules.rule_events(evaluated(t)), rule_id="GHOST-002", severity="critical")
+    found = rules.filter_events(rules.rule_events(evaluated(t, triggered_only=True)), rule_id="GHOST-002", severity="critical")
     return found.select("project_id", "rule_id", "rule_name", "severity", "score", "reason")
 
 

@@ -29,8 +29,9 @@ def peer_statistics(df: DataFrame, keys: list[str] = PEER_KEY, value: str = "rec
     return join_null_safe(stats, group_quantiles(df, keys, value, {"peer_median_cost": 0.5}), keys)
 
 
-def with_peer_statistics(df: DataFrame, keys: list[str] = PEER_KEY) -> DataFrame:
-    return join_null_safe(df, peer_statistics(df, keys), keys)
+def with_peer_statistics(df: DataFrame, keys: list[str] = PEER_KEY, peers: DataFrame | None = None) -> DataFrame:
+    """Peer statistics on every row; ``peers`` may come from a smaller table with the same amounts."""
+    return join_null_safe(df, peer_statistics(df, keys) if peers is None else peers, keys)
 
 
 def peer_deviation_pct(amount: Column, median: Column) -> Column:
@@ -62,8 +63,12 @@ def create_project_features(
     as_of: str,
     similarity: DataFrame | None = None,
     compat_max_payment: bool = False,
+    peers: DataFrame | None = None,
 ) -> DataFrame:
-    """The 30 project features; ``similarity`` has project_id and description_similarity_score."""
+    """The 30 project features; ``similarity`` has project_id and description_similarity_score.
+
+    Give ``peers = peer_statistics(works)`` to keep the peer groups from recomputing the master table.
+    """
     recommended, final = F.col("recommended_amount"), F.col("final_amount")
     base = master.withColumns(
         {
@@ -81,7 +86,7 @@ def create_project_features(
     else:
         base = base.join(similarity.select("project_id", "description_similarity_score"), "project_id", "left")
     deviation = peer_deviation_pct(recommended, F.col("peer_median_cost"))
-    peers = with_peer_statistics(base).withColumn("cost_deviation_from_peer", deviation)
+    peers = with_peer_statistics(base, peers=peers).withColumn("cost_deviation_from_peer", deviation)
     return with_vendor_statistics(peers, payments).select(*FEATURE_COLUMNS)
 
 

@@ -64,16 +64,36 @@ def field(p: Payload, name: str) -> Column:
     return p.get(name, F.lit(None).cast("string"))
 
 
+# Parsed values that several rules share.  ``prepare`` computes each once as a column; a payload without
+# them works too, at the price of repeating the expression.
+DATE_FIELDS = ["start_date", "completion_date", "expected_completion_date", "last_progress_update"]
+
+
 def progress_of(p: Payload) -> Column:
+    if "__done" in p:
+        return p["__done"]
     return F.coalesce(safe_float(field(p, "progress_percentage")), safe_float(field(p, "progress")))
 
 
 def state_of(p: Payload) -> Column:
+    if "__state" in p:
+        return p["__state"]
     return F.lower(F.trim(F.coalesce(field(p, "status").cast("string"), F.lit(""))))
 
 
 def day(p: Payload, name: str) -> Column:
-    return strict_date(field(p, name))
+    return p[f"__{name}"] if f"__{name}" in p else strict_date(field(p, name))
+
+
+def prepare(df: DataFrame, now: Column) -> tuple[DataFrame, Payload]:
+    """Add the shared parsed columns; returns the frame and its payload."""
+    p = payload_of(df)
+    df = df.withColumns({"__done": progress_of(p), "__state": state_of(p)} | {f"__{d}": day(p, d) for d in DATE_FIELDS})
+    p = payload_of(df)
+    df = df.withColumns({"__idle": days_since(p, now), "__share": elapsed_share(p, now)})
+    df = df.withColumn("__expected", expected_progress(payload_of(df), now))
+    df = df.withColumn("__gap", progress_gap(F.col("__expected"), F.col("__done")))
+    return df, payload_of(df)
 
 
 # --- compliance -----------------------------------------------------------------------------------
@@ -216,6 +236,8 @@ def payment_inconsistency(p: Payload) -> Column:
 
 def days_since(p: Payload, now: Column) -> Column:
     """Days since the last update, or since the start; never negative."""
+    if "__idle" in p:
+        return p["__idle"]
     last = F.coalesce(day(p, "last_progress_update"), day(p, "start_date"))
     return F.when(last.isNotNull(), F.greatest(F.lit(0), F.datediff(now, last)))
 
@@ -299,6 +321,8 @@ def active_inactivity(p: Payload, now: Column, limit: int = 90) -> Column:
 
 def elapsed_share(p: Payload, now: Column) -> Column:
     """Elapsed share of the planned schedule in percent, not above-clamped; 100 when the plan has no length."""
+    if "__share" in p:
+        return p["__share"]
     start, end = day(p, "start_date"), day(p, "expected_completion_date")
     planned, gone = F.datediff(end, start), F.datediff(now, start)
     flat = F.when(gone >= 0, 100.0).otherwise(0.0)
@@ -343,6 +367,8 @@ def stalled_composite(
 
 def expected_progress(p: Payload, now: Column) -> Column:
     """Percentage of the schedule that has passed, within 0..100."""
+    if "__expected" in p:
+        return p["__expected"]
     return F.when(elapsed_share(p, now).isNotNull(), F.least(F.lit(100.0), elapsed_share(p, now)))
 
 
@@ -362,9 +388,10 @@ def expected_progress_rule(p: Payload, now: Column) -> Column:
     )
 
 
-def significant_gap(expected: Column, actual: Column, thresholds: dict[str, float] | None = None) -> Column:
+def significant_gap(p: Payload, now: Column, thresholds: dict[str, float] | None = None) -> Column:
     limits = GAP_THRESHOLDS | (thresholds or {})
-    gap = progress_gap(expected, actual)
+    expected, actual = expected_progress(p, now), progress_of(p)
+    gap = p["__gap"] if "__gap" in p else progress_gap(expected, actual)
     e, a, g = plain(expected), plain(actual), plain(gap)
     message = (
         F.when(gap.isNull(), "Insufficient data to compute progress gap.")
@@ -433,7 +460,7 @@ def stalled_suite(p: Payload, now: Column) -> list[Column]:
 def progress_suite(p: Payload, now: Column) -> list[Column]:
     return [
         expected_progress_rule(p, now),
-        significant_gap(expected_progress(p, now), progress_of(p)),
+        significant_gap(p, now),
         duration_mismatch(p, now),
     ]
 
@@ -444,12 +471,13 @@ def payload_of(df: DataFrame) -> Payload:
 
 def evaluate_records(df: DataFrame, as_of: str) -> DataFrame:
     """All suites on records that carry the payload's columns: one ``findings`` array per row."""
-    p, now = payload_of(df), F.lit(as_of).cast("date")
+    now = F.lit(as_of).cast("date")
+    ready, p = prepare(df, now)
     found = compliance_suite(p) + stalled_suite(p, now) + progress_suite(p, now) + [r(p) for r in EXTRA_RULES]
-    return df.withColumn("findings", F.array(*found))
+    return ready.select(*df.columns, F.array(*found).alias("findings"))
 
 
-def dataset_findings(p: Payload, critical_fields: list[str] = CRITICAL_FIELDS, nan_is_present: bool = False) -> Column:
+def dataset_findings(p: Payload, critical_fields: list[str] = CRITICAL_FIELDS, nan_is_present: bool = False) -> list[Column]:
     """The 15 evaluations on project features, which lack progress and dates.
 
     Chronology, completion, overrun and inactivity use the elapsed-day features instead.
@@ -475,7 +503,13 @@ def dataset_findings(p: Payload, critical_fields: list[str] = CRITICAL_FIELDS, n
         "location": place,
         "total_payments": F.coalesce(paid, p["total_expenditure"]),
         "payment_amount": p["maximum_payment"],
-    }
+        "__state": status,
+        "__done": null.cast("double"),
+        "__idle": null.cast("int"),
+        "__share": null.cast("double"),
+        "__expected": null.cast("double"),
+        "__gap": null.cast("double"),
+    } | {f"__{d}": null.cast("date") for d in DATE_FIELDS}
     given = ("sanctioned_amount",) if nan_is_present else ()
     has_days = F.lit(True) if nan_is_present else took.isNotNull()
     early = took < 0
@@ -523,7 +557,7 @@ def dataset_findings(p: Payload, critical_fields: list[str] = CRITICAL_FIELDS, n
         {"status": status, "days_since_recommendation": gone, "inactivity_threshold_days": F.lit(90)},
     )
     now = null.cast("date")
-    return F.array(
+    return [
         missing_critical_fields(q, critical_fields, given),
         invalid_status(q),
         invalid_progress(q),
@@ -538,12 +572,15 @@ def dataset_findings(p: Payload, critical_fields: list[str] = CRITICAL_FIELDS, n
         stalled_composite(q, now),
         *progress_suite(q, now),
         *[r(p) for r in EXTRA_RULES],
-    )
+    ]
 
 
-def evaluate_features(df: DataFrame, **options) -> DataFrame:
-    """Project features plus their ``findings``."""
-    return df.withColumn("findings", dataset_findings(payload_of(df), **options))
+def evaluate_features(df: DataFrame, triggered_only: bool = False, **options) -> DataFrame:
+    """Project features plus their ``findings``; texts of rules that do not trigger are skipped on request."""
+    found = dataset_findings(payload_of(df), **options)
+    if triggered_only:
+        return df.withColumn("findings", F.array_compact(F.array(*[F.when(f["triggered"], f) for f in found])))
+    return df.withColumn("findings", F.array(*found))
 
 
 def rule_events(evaluated: DataFrame, all_results: bool = False) -> DataFrame:
