@@ -20,12 +20,17 @@ def rounded(c: Column, digits: int) -> Column:
 def finite(c: Column, default: float | None = None) -> Column:
     """Double with NaN and infinities as null, or ``default`` for every missing value."""
     value = c.try_cast("double")
-    value = F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
+    value = F.when(F.abs(value) < float("inf"), value)  # NaN sorts above infinity
     return value if default is None else F.coalesce(value, F.lit(float(default)))
 
 
 def clip(c: Column, low: float, high: float) -> Column:
-    return F.when(c.isNotNull(), F.greatest(F.least(c, F.lit(float(high))), F.lit(float(low))))
+    """Bound a value that is not null; null would become ``high``."""
+    return F.greatest(F.least(c, F.lit(float(high))), F.lit(float(low)))
+
+
+def clip_or_null(c: Column, low: float, high: float) -> Column:
+    return F.when(c.isNotNull(), clip(c, low, high))
 
 
 def sigmoid(c: Column, slope: float, centre: float) -> Column:

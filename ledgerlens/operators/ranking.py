@@ -17,7 +17,7 @@ def competition_rank(df: DataFrame, score: str, name: str) -> DataFrame:
     """
     grid = F.rint(F.col(score) * 10_000).cast("int")
     scored = df.withColumn("__grid", grid)
-    counts = scored.filter(F.col("__grid").between(0, 10_000)).groupBy("__grid").agg(F.count("*").alias("__c"))
+    counts = scored.groupBy("__grid").agg(F.count("*").alias("__c"))
     above = Window.orderBy(F.desc("__grid")).rowsBetween(Window.unboundedPreceding, -1)
     ranks = counts.select("__grid", (F.coalesce(F.sum("__c").over(above), F.lit(0)) + 1).alias(name))
     return scored.join(F.broadcast(ranks), "__grid", "left").drop("__grid")
