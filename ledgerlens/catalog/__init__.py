@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["roles", "cleaning", "quality", "master", "rules", "scoring"]
+MODULES = ["roles", "cleaning", "quality", "master", "rules", "scoring", "fusion"]
 
 
 def load_all() -> tuple[dict, dict]:
