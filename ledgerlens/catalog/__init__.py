@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["roles", "cleaning", "quality", "master", "rules", "scoring", "fusion"]
+MODULES = ["roles", "cleaning", "quality", "master", "rules", "scoring", "fusion", "similarity"]
 
 
 def load_all() -> tuple[dict, dict]:

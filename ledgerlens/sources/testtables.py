@@ -309,7 +309,7 @@ class Tables:
 
     @cached_property
     def hash_items(self) -> DataFrame:
-        """A 64-bit hash per embedding from the signs of its first 64 numbers; 60 of the bits come from the label's group."""
+        """A 64-bit hash per embedding from the signs of its first 64 numbers."""
         sign = F.transform(
             F.sequence(F.lit(1), F.lit(64)),
             lambda i: F.when(F.element_at("embedding", i) > 0, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")),
