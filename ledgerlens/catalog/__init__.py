@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["roles", "cleaning", "quality", "master", "rules", "scoring", "fusion", "similarity"]
+MODULES = ["roles", "cleaning", "quality", "master", "rules", "scoring", "fusion", "similarity", "geo"]
 
 
 def load_all() -> tuple[dict, dict]:

@@ -116,7 +116,11 @@ cte(
 )
 cte(
     "r_hashes",
-    """SELECT vec_id item_id, CAST(label AS VARCHAR) project_id, list_transform(embedding[1:64], lambda x: x>0) bits FROM embeddings""",
+    """SELECT item_id, project_id, left(h,64-k)||translate(right(h,k),'01','10') h FROM (SELECT unnest([
+       struct_pack(item_id:=vec_id,project_id:=CAST(label AS VARCHAR),k:=0),
+       struct_pack(item_id:=vec_id+1000000000,project_id:=CAST(label+1 AS VARCHAR),k:=vec_id%7),
+       struct_pack(item_id:=vec_id+2000000000,project_id:=CAST(label AS VARCHAR),k:=vec_id%9)],recursive:=true), h
+       FROM (SELECT vec_id, label, list_reduce(list_transform(embedding[1:64], lambda x: CASE WHEN x>0 THEN '1' ELSE '0' END), lambda a, b: a||b) h FROM embeddings))""",
 )
 cte(
     "r_risk",

@@ -251,11 +251,10 @@ def a22(t):
 
 # --- hashes ---------------------------------------------------------------------------------------
 
-BITS = "list_reduce(list_transform(bits, lambda b: CASE WHEN b THEN '1' ELSE '0' END), lambda a, b: a||b)"
-cte("h_distinct", f"SELECT h, count(*) items, min(project_id) p0, max(project_id) p1 FROM (SELECT *, {BITS} h FROM r_hashes) GROUP BY 1")
-cte("h_project", f"SELECT project_id, h, count(*) items FROM (SELECT *, {BITS} h FROM r_hashes) GROUP BY 1,2")
+cte("h_distinct", "SELECT h, count(*) items, min(project_id) p0, max(project_id) p1 FROM r_hashes GROUP BY 1")
+cte("h_project", "SELECT project_id, h, count(*) items FROM r_hashes GROUP BY 1,2")
 HAM = "hamming(a.h,b.h)"
-LIMIT = 14
+LIMIT = 5
 
 
 def shown_hash(c):
@@ -268,7 +267,7 @@ def shown_hash(c):
     AND NOT (a.p0=a.p1 AND b.p0=b.p1 AND a.p0=b.p0) UNION ALL SELECT h, h, 0, items+items, 1e0 FROM h_distinct WHERE p0<>p1""",
 )
 def t14(t):
-    out = hashes.cross_project_duplicates(t.hash_items, distance=LIMIT, bands=16)
+    out = hashes.cross_project_duplicates(t.hash_items, distance=LIMIT)
     a, b = shown_hash(F.col("item_hash_a")), shown_hash(F.col("item_hash_b"))
     return out.select(
         F.least(a, b).alias("hash_a"), F.greatest(a, b).alias("hash_b"), "hamming", (F.col("items_a") + F.col("items_b")).alias("items"), "confidence"
@@ -282,4 +281,4 @@ def t14(t):
     FROM h_project LEFT JOIN (SELECT a.project_id, sum(a.items*b.items) near FROM h_project a JOIN h_project b ON a.project_id=b.project_id AND a.h<b.h AND {HAM}<={LIMIT} GROUP BY 1) USING (project_id) GROUP BY 1""",
 )
 def t15(t):
-    return hashes.project_duplicates(t.hash_items, distance=LIMIT, bands=16)
+    return hashes.project_duplicates(t.hash_items, distance=LIMIT)

@@ -195,7 +195,7 @@ def verified(candidates: DataFrame, weights: DataFrame) -> DataFrame:
     )
 
 
-def nearest_similarity(texts: DataFrame, weights: DataFrame, thresholds: tuple[float, ...] = (0.8, 0.5, 0.25)) -> DataFrame:
+def nearest_similarity(texts: DataFrame, weights: DataFrame, thresholds: tuple[float, ...] = (0.75,)) -> DataFrame:
     """Largest cosine of each text to any other document: text_id, similarity.
 
     Copies are at 1.  The others are searched at falling thresholds, each round only for texts that have

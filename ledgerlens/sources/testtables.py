@@ -309,15 +309,32 @@ class Tables:
 
     @cached_property
     def hash_items(self) -> DataFrame:
-        """A 64-bit hash per embedding from the signs of its first 64 numbers."""
+        """A 64-bit hash per embedding from the signs of its first 64 numbers.
+
+        Each item is also handed in by the next label's project and once more by its own, with up to 6
+        and 8 of the lowest bits flipped.
+        """
         sign = F.transform(
             F.sequence(F.lit(1), F.lit(64)),
             lambda i: F.when(F.element_at("embedding", i) > 0, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")),
         )
         bits = F.aggregate(sign, F.lit(0).cast("long"), lambda acc, b: F.shiftleft(acc, 1).bitwiseOR(b))
-        return self.read("embeddings").select(
-            F.col("vec_id").alias("item_id"), F.col("label").cast("string").alias("project_id"), bits.alias("item_hash")
+        n = F.col("vec_id")
+        versions = F.array(
+            *[
+                F.struct(
+                    (n + shift).alias("item_id"),
+                    project.cast("string").alias("project_id"),
+                    bits.bitwiseXOR(F.expr(f"shiftleft(1L, cast(vec_id % {flips} as int)) - 1")).alias("item_hash"),
+                )
+                for shift, project, flips in (
+                    (0, F.col("label"), 1),
+                    (1_000_000_000, F.col("label") + 1, 7),
+                    (2_000_000_000, F.col("label"), 9),
+                )
+            ]
         )
+        return self.read("embeddings").select(F.inline(versions))
 
     @cached_property
     def risk(self) -> DataFrame:
