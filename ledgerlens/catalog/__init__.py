@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["roles", "cleaning", "quality", "master", "rules", "scoring", "fusion", "similarity", "geo"]
+MODULES = [
+    "roles", "cleaning", "quality", "master", "rules", "scoring", "fusion", "similarity", "geo", "dashboard", "civic", "models", "streaming",
+]
 
 
 def load_all() -> tuple[dict, dict]:
