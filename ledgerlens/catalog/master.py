@@ -42,7 +42,7 @@ cte(
 )
 cte(
     "k_peer",
-    f"""SELECT category, state, avg(recommended_amount) peer_mean_cost, stddev_samp(recommended_amount) peer_std_cost,
+    f"""SELECT category, state, {DEC.format("recommended_amount")}/count(recommended_amount) peer_mean_cost, stddev_samp(recommended_amount) peer_std_cost,
     {MED("recommended_amount")} peer_median_cost FROM r_works GROUP BY ALL""",
 )
 cte(

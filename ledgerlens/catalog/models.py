@@ -34,7 +34,7 @@ cte(
     "SELECT project_id, " + ", ".join(R(f"({c}-c_{c})/(CASE WHEN b_{c}>a_{c} THEN b_{c}-a_{c} ELSE 1e0 END)", 6) + f" {c}" for c in SCALED) + " FROM d_fill, d_fit",
 )
 def d01(t):
-    df = features_of(t)
+    df = checkpoint(features_of(t))
     scaling = fit_scaling(df, SCALED)
     return df.select("project_id", *[rounded(scaling.scaled(c), 6).alias(c) for c in SCALED])
 
@@ -50,7 +50,7 @@ DRIVERS = "list_sort(list_filter([" + ",".join(
     f"""SELECT project_id, array_to_string(list_transform({DRIVERS}, lambda e: e.f||' ('||CASE WHEN e.z>=0 THEN '+' ELSE '' END||printf('%.1f',{R("e.z", 1)})||' sigma)'),'; ') drivers FROM d_fill, d_fit""",
 )
 def d04(t):
-    df = features_of(t)
+    df = checkpoint(features_of(t))
     return df.select("project_id", top_drivers(fit_scaling(df, SCALED)).alias("drivers"))
 
 
@@ -96,7 +96,7 @@ TYPE = f"""coalesce(nullif(concat_ws('|',CASE WHEN {RATIO}>1.05 AND {SPENT}>0 TH
 
 
 def filled(t):
-    df = scored_features(t)
+    df = checkpoint(scored_features(t))
     scaling = fit_scaling(df, SCALED)
     return df.withColumns({c: scaling.filled(c) for c in SCALED})
 
@@ -163,9 +163,9 @@ def d12(t):
 PRED = "CAST(60+CAST(split_part(project_id,'|',1) AS BIGINT)%1300 AS DOUBLE)"
 cte(
     "d_delay",
-    f"""SELECT *, least(1e0,greatest(0e0,CASE WHEN is_completed=1 THEN CASE WHEN took>days THEN least(1e0,(took-days)/days) ELSE 0.05e0 END
-    ELSE {SIG("gone/greatest(days,60e0)", 3.5, 0.95)}+least(0.2e0,pending_payment_count*0.05e0) END)) risk FROM (SELECT project_id, is_completed, pending_payment_count, greatest(0e0,coalesce(days_since_recommendation,0)) gone,
-    abs(coalesce(recommendation_to_completion_days,0)) took, least(1200e0,greatest(90e0,{PRED})) days FROM k_feat)""",
+    f"""SELECT *, least(1e0,greatest(0e0,CASE WHEN is_completed=1 THEN CASE WHEN took>pdays THEN least(1e0,(took-pdays)/pdays) ELSE 0.05e0 END
+    ELSE {SIG('gone/greatest(pdays,60e0)', 3.5, 0.95)}+least(0.2e0,pending_payment_count*0.05e0) END)) risk FROM (SELECT project_id, is_completed, pending_payment_count, greatest(0e0,coalesce(days_since_recommendation,0)) gone,
+    abs(coalesce(recommendation_to_completion_days,0)) took, least(1200e0,greatest(90e0,{PRED})) AS pdays FROM k_feat)""",
 )
 LEVEL = "CASE WHEN risk<0.35 THEN 'LOW' WHEN risk<0.65 THEN 'MEDIUM' WHEN risk<0.85 THEN 'HIGH' ELSE 'CRITICAL' END"
 
@@ -176,7 +176,7 @@ def predicted(t):
 
 @query(
     "D14_delay_scores",
-    f"SELECT *, rank() OVER (ORDER BY delay_risk_score DESC) delay_risk_rank FROM (SELECT project_id, gone days_since_recommendation, days predicted_completion_days, {R('risk', 4)} delay_risk_score, CAST(risk>=0.5 AS INT) is_delayed_predicted FROM d_delay)",
+    f"SELECT *, rank() OVER (ORDER BY delay_risk_score DESC) delay_risk_rank FROM (SELECT project_id, gone days_since_recommendation, pdays predicted_completion_days, {R('risk', 4)} delay_risk_score, CAST(risk>=0.5 AS INT) is_delayed_predicted FROM d_delay)",
 )
 def d14(t):
     return delay.score_delays(predicted(t)).drop("delay_risk_level")

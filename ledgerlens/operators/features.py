@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.master import spend_ratio, vendor_lookup
+from ledgerlens.operators.master import exact_sum, spend_ratio, vendor_lookup
 from ledgerlens.operators.quantiles import group_quantiles, join_null_safe
 from ledgerlens.schemas import FEATURE_COLUMNS, MP_COLUMNS
 
@@ -23,9 +23,8 @@ def cost_variation(final: Column, recommended: Column) -> Column:
 
 def peer_statistics(df: DataFrame, keys: list[str] = PEER_KEY, value: str = "recommended_amount") -> DataFrame:
     """Median, mean and sample deviation per peer group; null keys form a group."""
-    stats = df.groupBy(*keys).agg(
-        F.avg(value).alias("peer_mean_cost"), F.stddev_samp(value).alias("peer_std_cost")
-    )
+    mean = exact_sum(value) / F.count(value)
+    stats = df.groupBy(*keys).agg(mean.alias("peer_mean_cost"), F.stddev_samp(value).alias("peer_std_cost"))
     return join_null_safe(stats, group_quantiles(df, keys, value, {"peer_median_cost": 0.5}), keys)
 
 
