@@ -180,12 +180,26 @@ def cosine_pairs(weights: DataFrame, threshold: float = HIGH) -> DataFrame:
     candidates = (
         met.groupBy("text_id_a", "text_id_b").agg(bound.alias("__bound")).filter(F.col("__bound") >= threshold - 1e-9)
     ).select("text_id_a", "text_id_b")
-    return checkpoint(verified(candidates, weights).filter(F.col("similarity") >= threshold))
+    likely = screened(candidates, weights, threshold)
+    return checkpoint(verified(likely, weights).filter(F.col("similarity") >= threshold))
 
 
-def verified(candidates: DataFrame, weights: DataFrame) -> DataFrame:
-    """Exact cosine of candidate pairs."""
-    a = weights.select(F.col("text_id").alias("text_id_a"), "term", F.col("weight").alias("__a"))
+def screened(candidates: DataFrame, weights: DataFrame, threshold: float) -> DataFrame:
+    """Candidates that can still reach the threshold, judged by the first text's heaviest terms only.
+
+    The light terms of a text have length ``tail`` at most, so they add no more than that to any cosine;
+    a pair whose heavy terms give less than ``threshold - tail`` cannot qualify.
+    """
+    tail = 0.7 * threshold
+    before = Window.partitionBy("text_id").orderBy(F.desc("weight"), "term").rowsBetween(Window.unboundedPreceding, -1)
+    mass = F.coalesce(F.sum(F.col("weight") * F.col("weight")).over(before), F.lit(0.0))
+    heavy = weights.withColumn("__mass", mass).filter(F.col("__mass") < 1 - tail * tail).drop("__mass")
+    return verified(candidates, weights, heavy).filter(F.col("similarity") >= threshold - tail - 1e-9).drop("similarity")
+
+
+def verified(candidates: DataFrame, weights: DataFrame, first: DataFrame | None = None) -> DataFrame:
+    """Exact cosine of candidate pairs, or only over the terms of ``first`` for the first text."""
+    a = (weights if first is None else first).select(F.col("text_id").alias("text_id_a"), "term", F.col("weight").alias("__a"))
     b = weights.select(F.col("text_id").alias("text_id_b"), "term", F.col("weight").alias("__b"))
     return (
         candidates.join(a, "text_id_a")
@@ -210,7 +224,8 @@ def nearest_similarity(texts: DataFrame, weights: DataFrame, thresholds: tuple[f
         mine = index.join(open_ids, "text_id", "left_semi").select(F.col("text_id").alias("text_id_a"), "term")
         theirs = index.select(F.col("text_id").alias("text_id_b"), "term")
         met = blocked_lookup(mine, theirs, ["term"], F.col("text_id_b")).filter("text_id_a <> text_id_b")
-        pairs = verified(met.select("text_id_a", "text_id_b").distinct(), vectors).filter(F.col("similarity") >= t)
+        likely = screened(met.select("text_id_a", "text_id_b").distinct(), vectors, t)
+        pairs = verified(likely, vectors).filter(F.col("similarity") >= t)
         best = checkpoint(pairs.groupBy(F.col("text_id_a").alias("text_id")).agg(F.max("similarity").alias("similarity")))
         found.append(best)
         open_ids = checkpoint(open_ids.join(best, "text_id", "left_anti"))
