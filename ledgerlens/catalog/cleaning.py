@@ -339,10 +339,10 @@ def c18(t):
 
 @query(
     "C19_hash_identity",
-    "SELECT c_custkey, h, 'CIT-XXXX XXXX '||right(h,4) masked FROM (SELECT c_custkey, sha256('parakh-demo:'||trim(c_name)) h FROM customer)",
+    "SELECT c_custkey, h, 'CIT-XXXX XXXX '||right(h,4) masked FROM (SELECT c_custkey, sha256('civic:'||trim(c_name)) h FROM customer)",
 )
 def c19(t):
-    h = text.hash_identity(F.col("c_name"))
+    h = text.hash_identity(F.col("c_name"), "civic")
     return t.read("customer").select("c_custkey", h.alias("h"), text.mask_identity(h).alias("masked"))
 
 

@@ -29,7 +29,6 @@ CATEGORY_CODES = {
 LOCATION_MARKERS = (
     r"(ward|gp |gram panchayat|sector|nagar|village|phase|plot|block|mohalla|tola|pada|khurd|kalan|chowk|marg|road no)"
 )
-ID_SALT = "parakh-demo"
 
 
 def lookup(c: Column, mapping: dict, default: Column | None = None) -> Column:
@@ -85,7 +84,7 @@ def has_location_marker(c: Column) -> Column:
     return F.coalesce(F.lower(c).rlike(LOCATION_MARKERS), F.lit(False))
 
 
-def hash_identity(c: Column, salt: str = ID_SALT) -> Column:
+def hash_identity(c: Column, salt: str) -> Column:
     return F.sha2(F.concat(F.lit(salt + ":"), F.trim(c)), 256)
 
 
