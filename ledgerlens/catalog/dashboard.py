@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ledgerlens.catalog.master import features_of, master_of
 from ledgerlens.catalog.registry import R, query
 from ledgerlens.functions.numbers import rounded
-from ledgerlens.operators import agency, dashboard, fusion, master
+from ledgerlens.operators import agency, dashboard, master
 from ledgerlens.operators.quality import union_all
 from ledgerlens.sources.files import event_history
 
