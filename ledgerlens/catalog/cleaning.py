@@ -11,12 +11,14 @@ from ledgerlens.session import scratch_path
 from ledgerlens.sources import files
 from ledgerlens.sources.testtables import AS_OF
 
-N = F.col("o_orderkey")
+
+def N():
+    return F.col("o_orderkey")
 
 
 def pick(*options):
     """Option ``o_orderkey % len``."""
-    return F.element_at(F.array(*options), (N % len(options) + 1).cast("int"))
+    return F.element_at(F.array(*options), (N() % len(options) + 1).cast("int"))
 
 
 def messy(t):
@@ -39,7 +41,7 @@ def messy(t):
             F.lit("Payment In-Progress"), F.lit(" payment success "), F.lit("PAID"), F.lit("Payment Completed"),
             F.lit("in progress"), F.lit(""), none,
         ).alias("status"),
-        F.concat(F.lit("  Road\t of "), F.col("o_orderpriority"), F.lit("  (Ward #"), N % 9, F.lit(") ")).alias("title"),
+        F.concat(F.lit("  Road\t of "), F.col("o_orderpriority"), F.lit("  (Ward #"), N() % 9, F.lit(") ")).alias("title"),
     )
 
 
@@ -172,7 +174,7 @@ def c04(t):
     lenient = dates.parse_date(F.col("day"))
     return (
         messy(t)
-        .filter(N % 9 != 2)
+        .filter(N() % 9 != 2)
         .select("o_orderkey", F.date_format(lenient, "yyyy-MM-dd HH:mm:ss").alias("day"))
     )
 
@@ -369,5 +371,5 @@ def c21(t):
 def c22(t):
     c = pick(*[F.lit(x) for x in list(text.CATEGORY_CODES) + ["Unheard of", None]])
     return t.read("orders").select(
-        "o_orderkey", text.category_code(c).alias("code"), (N % 2 == 0).cast("int").alias("images")
+        "o_orderkey", text.category_code(c).alias("code"), (N() % 2 == 0).cast("int").alias("images")
     )

@@ -8,7 +8,11 @@ from ledgerlens.operators import fusion
 from ledgerlens.plans import risk as plan
 from ledgerlens.schemas import RISK_COLUMNS
 
-N = F.split_part("project_id", F.lit("|"), F.lit(1)).cast("long")
+
+def N():
+    return F.split_part("project_id", F.lit("|"), F.lit(1)).cast("long")
+
+
 BASE = ["project_id", "mp_name", "state", "constituency", "category", "recommended_amount", "total_expenditure", "expenditure_ratio", "is_completed"]
 
 
@@ -18,7 +22,7 @@ def base(t):
 
 def engines(t):
     """Six engine results with gaps, each computed from the project's number."""
-    b = base(t).withColumn("n", N)
+    b = base(t).withColumn("n", N())
     n = F.col("n")
     frac = lambda mul: (n * mul % 10001) / 10000.0
     return {

@@ -10,13 +10,17 @@ from ledgerlens.operators import cost, delay, features, iforest, payments
 from ledgerlens.operators.scaling import fit_scaling, top_drivers
 from ledgerlens.session import checkpoint
 
-N = F.split_part("project_id", F.lit("|"), F.lit(1)).cast("long")
+
+def N():
+    return F.split_part("project_id", F.lit("|"), F.lit(1)).cast("long")
+
+
 SCALED = ["recommended_amount", "total_expenditure", "expenditure_ratio", "cost_deviation_from_peer", "payment_count", "days_since_recommendation"]
 
 
 def scored_features(t):
     """Features with a similarity score that follows from the key."""
-    return features_of(t).withColumn("description_similarity_score", (N % 100) / 100.0)
+    return features_of(t).withColumn("description_similarity_score", (N() % 100) / 100.0)
 
 
 cte("d_med", "SELECT " + ", ".join(f"{MED(f'CAST({c} AS DOUBLE)')} m_{c}" for c in SCALED) + " FROM k_feat")
@@ -123,7 +127,7 @@ def d08(t):
 @query("D09_cost_composite", f"SELECT project_id, {R(COMP, 4)} score, CAST(({COMP})>=0.5 AS INT) flag FROM d_cost")
 def d09(t):
     ratio, spent = F.col(RATIO), F.col(SPENT)
-    parts = (cost.peer_risk(F.col(DEV)), cost.overrun_risk(ratio, spent), cost.z_risk(z_of()), (N % 100) / 100.0)
+    parts = (cost.peer_risk(F.col(DEV)), cost.overrun_risk(ratio, spent), cost.z_risk(z_of()), (N() % 100) / 100.0)
     score = cost.cost_composite(*parts, ratio, spent)
     return filled(t).select("project_id", rounded(score, 4).alias("score"), (score >= 0.5).cast("int").alias("flag"))
 
@@ -171,7 +175,7 @@ LEVEL = "CASE WHEN risk<0.35 THEN 'LOW' WHEN risk<0.65 THEN 'MEDIUM' WHEN risk<0
 
 
 def predicted(t):
-    return features_of(t).withColumn("predicted_days", (60 + N % 1300).cast("double"))
+    return features_of(t).withColumn("predicted_days", (60 + N() % 1300).cast("double"))
 
 
 @query(

@@ -8,7 +8,9 @@ from ledgerlens.functions.numbers import rounded
 from ledgerlens.operators import ranking, rules
 from ledgerlens.sources.testtables import AS_OF
 
-NOW = F.lit(AS_OF).cast("date")
+
+def now():
+    return F.lit(AS_OF).cast("date")
 
 
 def records(t):
@@ -70,7 +72,7 @@ def rule_sql(trigger, severity, message, extra=""):
 
 
 def show(t, rule):
-    ready, payload = rules.prepare(records(t), NOW)
+    ready, payload = rules.prepare(records(t), now())
     return ready.select("project_id", rule(payload).alias("r")).select("project_id", "r.triggered", "r.severity", "r.score", "r.message")
 
 
@@ -208,16 +210,16 @@ SINGLE = {
     "R06_completed_progress_mismatch": ("COMPLIANCE-006", lambda q: rules.completed_progress_mismatch(q)),
     "R07_completed_without_date": ("COMPLIANCE-007", lambda q: rules.completed_without_date(q)),
     "R08_payment_inconsistency": ("COMPLIANCE-008", lambda q: rules.payment_inconsistency(q)),
-    "R09_no_progress": ("GHOST-001", lambda q: rules.no_progress(q, NOW)),
+    "R09_no_progress": ("GHOST-001", lambda q: rules.no_progress(q, now())),
     "R10_spend_progress_mismatch": ("GHOST-002", lambda q: rules.spend_progress_mismatch(q)),
-    "R11_active_inactivity": ("GHOST-003", lambda q: rules.active_inactivity(q, NOW)),
-    "R12_stalled_composite": ("GHOST-004", lambda q: rules.stalled_composite(q, NOW)),
-    "R13_expected_progress": ("PROGRESS-001", lambda q: rules.expected_progress_rule(q, NOW)),
+    "R11_active_inactivity": ("GHOST-003", lambda q: rules.active_inactivity(q, now())),
+    "R12_stalled_composite": ("GHOST-004", lambda q: rules.stalled_composite(q, now())),
+    "R13_expected_progress": ("PROGRESS-001", lambda q: rules.expected_progress_rule(q, now())),
     "R15_significant_gap": (
         "PROGRESS-003",
-        lambda q: rules.significant_gap(q, NOW),
+        lambda q: rules.significant_gap(q, now()),
     ),
-    "R16_duration_mismatch": ("PROGRESS-004", lambda q: rules.duration_mismatch(q, NOW)),
+    "R16_duration_mismatch": ("PROGRESS-004", lambda q: rules.duration_mismatch(q, now())),
 }
 for _name, (_id, _rule) in SINGLE.items():
     query(_name, SQL[_id])(lambda t, rule=_rule: show(t, rule))
@@ -225,8 +227,8 @@ for _name, (_id, _rule) in SINGLE.items():
 
 @query("R14_progress_gap", f"SELECT project_id, {EXPECTED} expected, {GAP} gap FROM k_rec")
 def r14(t):
-    ready, q = rules.prepare(records(t), NOW)
-    return ready.select("project_id", rules.expected_progress(q, NOW).alias("expected"), q["__gap"].alias("gap"))
+    ready, q = rules.prepare(records(t), now())
+    return ready.select("project_id", rules.expected_progress(q, now()).alias("expected"), q["__gap"].alias("gap"))
 
 
 @query(

@@ -73,7 +73,12 @@ cte(
     f"""SELECT *, {ROUND} round_payment_indicator, {FREQ} payment_frequency_indicator, {R(BR, 4)} budget_payment_ratio,
     {R(PD, 2)} peer_payment_deviation, {MAG} magnitude_risk_score, (CAST(split_part(project_id,'|',1) AS BIGINT)%101)/100e0 iso FROM k_payin""",
 )
-ISO = (F.split_part("project_id", F.lit("|"), F.lit(1)).cast("long") % 101) / 100.0
+
+
+def isolation():
+    return (F.split_part("project_id", F.lit("|"), F.lit(1)).cast("long") % 101) / 100.0
+
+
 cte(
     "k_pays",
     f"""SELECT *, CASE WHEN total_expenditure<=0 AND pending_payment_count<=0 THEN 0e0 ELSE least(1e0,greatest(
@@ -128,7 +133,7 @@ def y05(t):
 @query("Y06_payment_composite", f"SELECT project_id, {R('comp', 4)} score FROM k_pays")
 def y06(t):
     ready = payments.payment_indicators(payment_input(t))
-    return ready.select("project_id", rounded(payments.payment_composite(ISO), 4).alias("score"))
+    return ready.select("project_id", rounded(payments.payment_composite(isolation()), 4).alias("score"))
 
 
 @query("Y07_payment_typology", "SELECT project_id, typ payment_anomaly_type FROM k_pays")
@@ -144,7 +149,7 @@ def y07(t):
     {R("total_expenditure", 2)} total_payment_amount FROM k_pays)""",
 )
 def y08(t):
-    ready = payments.payment_indicators(payment_input(t)).withColumn("iso", ISO)
+    ready = payments.payment_indicators(payment_input(t)).withColumn("iso", isolation())
     return payments.score_payments(ready, "iso").select(
         "project_id", "payment_anomaly_score", "is_payment_anomaly", "payment_anomaly_type", "payment_count",
         "total_payment_amount", "payment_anomaly_rank",
