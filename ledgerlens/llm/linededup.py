@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.arrow import explode_text
 from ledgerlens.session import materialize
 
 BLANK = " \t\n\x0b\x0c\r"
@@ -25,21 +23,17 @@ def long_lines(rows: DataFrame, min_chars: int) -> DataFrame:
     ``k1, k2`` are the halves of the key's 128-bit hash; ``pos`` counts from 0.
     """
 
-    def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in parts:
-            at, pos, keys = [], [], []
-            for i, text in enumerate(x["text"]):
-                for j, line in enumerate((text or "").split("\n")):
-                    if len(line) >= min_chars and len(line.strip(BLANK)) >= min_chars:
-                        at.append(i)
-                        pos.append(j)
-                        keys.append(xxhash.xxh3_128_intdigest(line.strip(BLANK).encode().lower()))
-            halves = {"k1": [(k >> 64) - (1 << 63) for k in keys], "k2": [(k & (1 << 64) - 1) - (1 << 63) for k in keys]}
-            out = x[["doc_id", "row_hash"]].iloc[at].reset_index(drop=True)
-            yield out.assign(pos=pd.array(pos, "int32"), **{c: pd.array(v, "int64") for c, v in halves.items()})
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "row_hash", "text").mapInPandas(of, f"doc_id {kind}, row_hash long, pos int, k1 long, k2 long")
+    def of(texts: list[str | None]) -> tuple:
+        at, pos, keys = [], [], []
+        for i, text in enumerate(texts):
+            for j, line in enumerate((text or "").split("\n")):
+                if len(line) >= min_chars and len(line.strip(BLANK)) >= min_chars:
+                    at.append(i)
+                    pos.append(j)
+                    keys.append(xxhash.xxh3_128_intdigest(line.strip(BLANK).encode().lower()))
+        return at, [pos, [(k >> 64) - (1 << 63) for k in keys], [(k & (1 << 64) - 1) - (1 << 63) for k in keys]]
+
+    return explode_text(rows.select("doc_id", "row_hash", "text"), "text", of, [("pos", "int"), ("k1", "long"), ("k2", "long")])
 
 
 def drop_shared_lines(

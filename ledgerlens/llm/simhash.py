@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.arrow import add_columns
 from ledgerlens.llm.components import components
 from ledgerlens.session import materialize
 
@@ -51,14 +52,8 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
 
     Other columns are not read, so their names don't matter.
     """
-
-    def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in parts:
-            yield pd.DataFrame({"doc_id": x["doc_id"], "fingerprint": [fingerprint(t, width) for t in x["text"]]})
-
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInPandas(of, f"doc_id {kind}, fingerprint long")
+    return add_columns(source, "text", lambda texts: [[fingerprint(t, width) for t in texts]], [("fingerprint", "long")]).drop("text")
 
 
 def _signed(mask: int) -> int:
