@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import linededup, packing, quality, simhash, tokencount
+from ledgerlens.llm import linededup, mixing, packing, quality, simhash, tokencount, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +80,29 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+TOP_K_SQL = """
+WITH codes AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS bits FROM embeddings
+),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS id,
+         list_sum(list_transform(list_zip(q.bits, c.bits), lambda p: CAST(p[1] <> p[2] AS INTEGER)))::INTEGER AS distance
+  FROM codes q JOIN codes c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, id, distance, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id)::INTEGER AS rank FROM pairs
+) WHERE rank <= 10
+"""
+
+
+@query("op2_exact_top_k", TOP_K_SQL)
+def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), topk.sign_code(F.col("embedding")).alias("code"))
+    return topk.top_k(codes, codes.where(F.col("id") % 50 == 0).withColumnRenamed("id", "query_id"), 10)
+
+
+@query("op3_source_mixing")
+def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), mixing.Mix(repeat_limit=2.0))
