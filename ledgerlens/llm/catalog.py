@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import linededup, mixing, packing, quality, simhash, tokencount, topk
+from ledgerlens.llm import htmltext, licenses, linededup, mixing, packing, pii, quality, simhash, tokencount, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -106,3 +106,55 @@ def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_source_mixing")
 def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"), mixing.Mix(repeat_limit=2.0))
+
+
+def license_sql() -> str:
+    """The same cuts, dictionary and rules in SQL; sentences and rules become value lists."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    words = ", ".join(f"({quoted(s)}, {quoted(n)})" for s, n in licenses.dictionary().items())
+    longest = " bsd-grant bsd-source bsd-binary bsd-endorse "
+    listed = ", ".join(
+        f"({quoted(spdx)}, {quoted(' ' + ' '.join(order) + ' ')}, {quoted(longest if spdx == 'BSD-2-Clause' else '#')})" for spdx, order in licenses.rules()
+    )
+    parts = []
+    for name, line_end in (("by_line", r"\n"), ("by_text", r"\n\s*\n")):
+        cut = r"regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '([.;:!?])\s+', '\1' || chr(1), 'g')"
+        parts.append(f"""
+{name} AS (
+  SELECT r, count(*) AS n, string_agg(w.name, ' ' ORDER BY pos) AS ids FROM (
+    SELECT r, u.pos AS pos, trim(regexp_replace(lower(l[u.pos]), '[^a-z0-9]+', ' ', 'g')) AS s
+    FROM (SELECT r, string_split(regexp_replace({cut}, '{line_end}', chr(1), 'g'), chr(1)) AS l FROM docs), unnest(range(1, len(l) + 1)) AS u(pos)
+  ) JOIN words w ON w.sentence = s GROUP BY r
+)""")
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+words(sentence, name) AS (VALUES {words}),
+rules(spdx, line, unless) AS (VALUES {listed}),
+{",".join(parts)},
+best AS (
+  SELECT r, doc_id, CASE WHEN coalesce(t.n, 0) > coalesce(l.n, 0) THEN t.n ELSE coalesce(l.n, 0) END AS n,
+         CASE WHEN coalesce(t.n, 0) > coalesce(l.n, 0) THEN t.ids ELSE coalesce(l.ids, '') END AS ids
+  FROM docs LEFT JOIN by_line l USING (r) LEFT JOIN by_text t USING (r)
+),
+hits AS (
+  SELECT r, string_agg(DISTINCT spdx, ',' ORDER BY spdx) AS licenses FROM best JOIN rules
+  ON contains(' ' || ids || ' ', line) AND NOT contains(' ' || ids || ' ', unless) WHERE ids <> '' GROUP BY r
+)
+SELECT doc_id, n AS n_sentences, ids AS sentence_ids, coalesce(licenses, '') AS licenses FROM best LEFT JOIN hits USING (r)
+"""
+
+
+@query("op5_license_scan", license_sql())
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op7_pii_spans")
+def pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+@query("op8_html_main_text")
+def html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract_pages(table(spark, sf_dir, "pages"))
