@@ -16,6 +16,7 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,18 +29,27 @@ SEED = 42
 BITS = 64
 
 
-def fingerprint(text: str | None, width: int = 3, seed: int = SEED) -> int:
-    """The signed 64-bit SimHash of one text: lower-case A-Z, words between white space, shingles of ``width`` words."""
+def shingle_hashes(text: str | None, width: int, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each shingle: lower-case A-Z, words between white space, ``width`` words joined by blanks, repeats included.
+
+    Fewer words are one shingle, no words none.
+    """
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts = (ends - sizes)[: max(1, len(words) - width + 1)].tolist()
     ends = ends[min(width, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[s:e], seed) for s, e in zip(starts, ends)], "<u8")
+    return np.array([digest(joined[s:e], seed) for s, e in zip(starts, ends)], "<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The signed 64-bit number whose bits are set in over half of the hashes; 0 without any."""
+    if not len(hashes):
+        return 0
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
@@ -47,6 +57,11 @@ def fingerprint(text: str | None, width: int = 3, seed: int = SEED) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
+def fingerprint(text: str | None, width: int = 3, seed: int = SEED) -> int:
+    """The signed 64-bit SimHash of one text over shingles of ``width`` words; 0 for a text without words."""
+    return majority(shingle_hashes(text, width, seed))
+
+
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
     """``doc_id, fingerprint`` (signed long) of every row; null, empty and blank texts have fingerprint zero.
 
@@ -164,3 +179,75 @@ def near_groups(prints: DataFrame, max_bits: int = 3, bucket: int = 512) -> Data
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = rooted.join(smallest, "root").select("fingerprint", "component_id")
     return prints.join(labels, "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+# -- near copies by shingle similarity -----------------------------------------------------------------------------------------
+TABLES = 4
+
+
+def _table_prints(text: str | None) -> list[int]:
+    """Independent fingerprints of the same features, all 1-, 2- and 3-word shingles: the hashes are mixed anew for each."""
+    hashes = np.concatenate([shingle_hashes(text, w) for w in (1, 2, 3)])
+    out = [majority(hashes)]
+    for _ in range(TABLES - 1):
+        hashes = hashes * np.uint64(0x9E3779B97F4A7C15)
+        hashes = (hashes ^ hashes >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+        hashes ^= hashes >> np.uint64(32)
+        out.append(majority(hashes))
+    return out
+
+
+def _jaccard(x: str | None, y: str | None, width: int) -> float:
+    a, b = np.unique(shingle_hashes(x, width)), np.unique(shingle_hashes(y, width))
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+def similar_pairs(texts: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Links ``a, b`` between rows ``node, text`` (distinct nodes) whose ``width``-word shingle sets are ``similarity`` alike.
+
+    Candidates are fingerprints within 3 bits in one of four tables; each link is then checked on the whole texts. Inside a
+    bucket candidates are a tree, not all pairs, so their number grows with the rows; different buckets and tables give
+    different trees over the same group.
+    """
+    fields = [(f"f{t}", "long") for t in range(TABLES)]
+    prints = add_columns(texts.select("node", "text"), "text", lambda x: list(zip(*map(_table_prints, x))) or [[]] * TABLES, fields)
+    prints = materialize(prints.drop("text"), "fingerprints")
+    found = []
+    for name, _ in fields:
+        fp = F.col(name).alias("fp")
+        heads = materialize(prints.groupBy(fp).agg(F.min("node").alias("head")), "heads")
+        same = prints.select(fp, "node").join(heads, "fp").where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+        near = links(heads)
+        for side in ("a", "b"):
+            near = near.join(heads.select(F.col("fp").alias(side), F.col("head").alias("node_" + side)), side)
+        found += [same, near.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))]
+    pairs = reduce(DataFrame.union, found).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    pairs = materialize(pairs.distinct(), "candidates")
+    for side in ("a", "b"):
+        pairs = pairs.join(texts.select(F.col("node").alias(side), F.col("text").alias("text_" + side)), side)
+
+    def alike(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in parts:
+            ones, others = x.column("text_a").to_pylist(), x.column("text_b").to_pylist()
+            keep = pa.array([_jaccard(t, u, width) >= similarity for t, u in zip(ones, others)], pa.bool_())
+            yield x.select(["a", "b"]).filter(keep)
+
+    kind = texts.schema["node"].dataType.simpleString()
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(alike, f"a {kind}, b {kind}")
+
+
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group linked by ``similar_pairs`` the document with the smallest id stays.
+
+    Equal texts are one class and collapse before anything is compared; null and empty texts are equal. Repeated rows (same
+    id and text) leave one; a null id is only kept where the group has no other. All columns come back unchanged.
+    """
+    keyed = docs.withColumn("__node", F.md5(F.coalesce(text, F.lit(""))))
+    classes = materialize(keyed.groupBy(F.col("__node").alias("node")).agg(F.min(doc_id).alias("least"), F.first(F.coalesce(text, F.lit(""))).alias("text")), "classes")
+    roots = components(similar_pairs(classes, width, similarity))
+    rooted = classes.select("node", "least").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
+    kept = rooted.groupBy("root").agg(F.min_by("node", F.struct(F.col("least").isNull(), "least", "node")).alias("node"))
+    kept = materialize(kept.join(classes.select("node", "least"), "node").select(F.col("node").alias("__kept"), "least"), "kept")
+    met = keyed.join(kept, (F.col("__node") == F.col("__kept")) & F.col(doc_id).eqNullSafe(F.col("least")))
+    return met.dropDuplicates(["__kept"]).select(docs.columns)
