@@ -34,7 +34,7 @@ def messy(t):
         ).alias("amount"),
         pick(
             fmt("yyyy-MM-dd"), fmt("dd-MM-yyyy"), fmt("dd/MM/yyyy"), fmt("yyyy/MM/dd"), fmt("yyyyMMdd"),
-            F.concat(fmt("yyyy-MM-dd"), F.lit("T10:00:00")), F.lit("N/A"), F.lit("2001-02-30"), none,
+            F.concat(fmt("yyyy-MM-dd"), F.lit("T10:00:00")), F.lit("N/A"), F.lit("2001-02-30"), none, fmt("d MMM yyyy"), fmt("MMMM d, yyyy"),
         ).alias("day"),
         pick(F.lit(" Yes"), F.lit("0"), F.lit("FALSE"), F.lit("maybe"), F.lit(" "), none, F.lit("1")).alias("flag"),
         pick(
@@ -51,7 +51,7 @@ cte(
        'n/a', ' ', NULL ][o_orderkey%7+1] amount,
        [ strftime(o_orderdate,'%Y-%m-%d'), strftime(o_orderdate,'%d-%m-%Y'), strftime(o_orderdate,'%d/%m/%Y'),
          strftime(o_orderdate,'%Y/%m/%d'), strftime(o_orderdate,'%Y%m%d'), strftime(o_orderdate,'%Y-%m-%d')||'T10:00:00',
-         'N/A', '2001-02-30', NULL ][o_orderkey%9+1] AS "day",
+         'N/A', '2001-02-30', NULL, strftime(o_orderdate,'%-d %b %Y'), strftime(o_orderdate,'%B %-d, %Y') ][o_orderkey%11+1] AS "day",
        [' Yes','0','FALSE','maybe',' ',NULL,'1'][o_orderkey%7+1] flag,
        ['Payment In-Progress',' payment success ','PAID','Payment Completed','in progress','',NULL][o_orderkey%7+1] status,
        '  Road'||chr(9)||' of '||o_orderpriority||'  (Ward #'||(o_orderkey%9)||') ' title FROM orders""",
@@ -62,6 +62,9 @@ AMOUNT = r"""coalesce(TRY_CAST({0} AS DOUBLE), TRY_CAST(nullif(regexp_extract({0
 STRICT = """coalesce(try_strptime({0},'%Y-%m-%d'),try_strptime({0},'%d-%m-%Y'),try_strptime({0},'%d/%m/%Y'),
   try_strptime({0},'%Y/%m/%d'),try_strptime({0},'%Y%m%d'))"""
 
+# month first where both readings are possible
+LENIENT = ["%Y-%m-%d", "%Y/%m/%d", "%Y%m%d", "%m/%d/%Y", "%m-%d-%Y", "%d/%m/%Y", "%d-%m-%Y", "%d %b %Y", "%B %d, %Y"]
+
 
 def raw_works(t):
     """Works with raw headers, everything text, and exact repeats."""
@@ -94,7 +97,7 @@ def s01(t):
     raw = files.read_raw_csv(t.spark, path, "recommended_works")
     for c in amount:
         raw = raw.withColumnRenamed(c, "recommended_amount")
-    clean = clean_table(raw, "recommended_works")
+    clean = clean_table(raw, "recommended_works", day_first=True)  # as raw_works writes them
     return clean.withColumn("recommendation_date", F.col("recommendation_date").cast("date"))
 
 
@@ -167,16 +170,11 @@ def c03(t):
 
 @query(
     "C04_parse_date",
-    f"""SELECT o_orderkey, CAST(coalesce(TRY_CAST("day" AS TIMESTAMP), {STRICT.format('"day"')}) AS VARCHAR) AS "day" FROM m_orders
-    WHERE o_orderkey%9<>2""",
+    f"""SELECT o_orderkey, CAST(coalesce(TRY_CAST("day" AS TIMESTAMP), {", ".join(f"try_strptime(day,'{x}')" for x in LENIENT)}) AS VARCHAR) AS "day" FROM m_orders""",
 )
 def c04(t):
     lenient = dates.parse_date(F.col("day"))
-    return (
-        messy(t)
-        .filter(N() % 9 != 2)
-        .select("o_orderkey", F.date_format(lenient, "yyyy-MM-dd HH:mm:ss").alias("day"))
-    )
+    return messy(t).select("o_orderkey", F.date_format(lenient, "yyyy-MM-dd HH:mm:ss").alias("day"))
 
 
 @query("C05_strict_date", f"""SELECT o_orderkey, CAST({STRICT.format("split_part(split_part(trim(day),'T',1),' ',1)")} AS DATE) AS "day" FROM m_orders""")

@@ -7,6 +7,7 @@ from ledgerlens.catalog.registry import R, query
 from ledgerlens.functions.numbers import rounded
 from ledgerlens.operators import agency, dashboard, master
 from ledgerlens.operators.quality import union_all
+from ledgerlens.operators.ranking import sequence_rank
 from ledgerlens.sources.files import event_history
 
 DEC = "CAST(sum(CAST({0} AS DECIMAL(18,2))) AS DOUBLE)"
@@ -177,11 +178,9 @@ def p06(t):
     return dashboard.compare_extremes(t.risk).select(*SHOWN_LIST)
 
 
-@query("O03_named_order", "SELECT * FROM (SELECT mp_name, row_number() OVER (ORDER BY utilization_pct DESC NULLS LAST, mp_name) place FROM r_mp) WHERE place<=100")
+@query("O03_named_order", "SELECT mp_name, row_number() OVER (ORDER BY utilization_pct DESC NULLS LAST, mp_name) place FROM r_mp")
 def o03(t):
-    from ledgerlens.operators.ranking import top_rows
-
-    return top_rows(t.mp_summary, dashboard.order_columns("utilization_desc", "mp_name"), 100, "place").select("mp_name", "place")
+    return sequence_rank(t.mp_summary.select("mp_name", "utilization_pct"), dashboard.order_columns("utilization_desc", "mp_name"), "place").select("mp_name", "place")
 
 
 @query(
@@ -193,9 +192,10 @@ def o04(t):
     return page.join(dashboard.page_info(t.risk, 50).withColumn("one", F.lit(1)), "one").drop("one")
 
 
-@query("O05_event_order", "SELECT event_id, seq, event_timestamp FROM r_events ORDER BY event_timestamp, event_type, event_id LIMIT 1000")
+@query("O05_event_order", "SELECT event_id, seq, event_timestamp, row_number() OVER (ORDER BY event_timestamp, event_type, event_id, seq) place FROM r_events")
 def o05(t):
-    return t.project_events.orderBy("event_timestamp", "event_type", "event_id").limit(1000).select("event_id", "seq", "event_timestamp")
+    order = [F.asc(c) for c in ("event_timestamp", "event_type", "event_id", "seq")]
+    return sequence_rank(t.project_events.select("event_id", "seq", "event_timestamp", "event_type"), order, "place").drop("event_type")
 
 
 @query(

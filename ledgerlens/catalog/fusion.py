@@ -25,30 +25,32 @@ def engines(t):
     b = base(t).withColumn("n", N())
     n = F.col("n")
     frac = lambda mul: (n * mul % 10001) / 10000.0
+    # a result under another id is one that its project doesn't find
+    known = lambda test: F.when(F.expr(test), F.col("project_id")).otherwise(F.concat("project_id", F.lit("|other"))).alias("project_id")
     return {
-        "cost_anomaly": b.filter("n % 10 <> 0").select(
-            "project_id", frac(31).alias("cost_anomaly_score"), (n % 9 == 0).cast("int").alias("is_cost_anomaly"),
+        "cost_anomaly": b.select(
+            known("n % 10 <> 0"), frac(31).alias("cost_anomaly_score"), (n % 9 == 0).cast("int").alias("is_cost_anomaly"),
             F.when(n % 2 == 0, "EXPENDITURE_OVERRUN").otherwise("EXTREME_PEER_INFLATION").alias("cost_anomaly_type"),
             F.when(n % 3 != 0, (n % 700) / 100.0).alias("cost_z_score"), F.lit("ignored").alias("mp_name"),
         ),
-        "delay_predictions": b.filter("n % 11 <> 0").select(
-            "project_id", frac(57).alias("delay_risk_score"), F.when(n % 8 == 0, "HIGH").otherwise("LOW").alias("delay_risk_level"),
+        "delay_predictions": b.select(
+            known("n % 11 <> 0"), frac(57).alias("delay_risk_score"), F.when(n % 8 == 0, "HIGH").otherwise("LOW").alias("delay_risk_level"),
             (n % 6 == 0).cast("int").alias("is_delayed_predicted"), (200 + n % 600).cast("double").alias("predicted_completion_days"),
         ),
         "isolation_forest": b.select(
             "project_id", frac(171).alias("anomaly_score"), (n % 20 == 0).cast("int").alias("is_anomaly"),
             F.when(n % 2 == 0, F.concat(F.lit("total_expenditure (+"), n % 90, F.lit(".0 sigma); payment_count (+2.0 sigma); days_since_recommendation (-1.5 sigma)"))).alias("top_anomaly_drivers"),
         ),
-        "payment_anomaly": b.filter("n % 4 <> 1").select(
-            "project_id", frac(91).alias("payment_anomaly_score"), (n % 7 == 0).cast("int").alias("is_payment_anomaly"),
+        "payment_anomaly": b.select(
+            known("n % 4 <> 1"), frac(91).alias("payment_anomaly_score"), (n % 7 == 0).cast("int").alias("is_payment_anomaly"),
             F.lit("SEVERE_BUDGET_OVERRUN").alias("payment_anomaly_type"),
         ),
-        "rule_flagged": b.filter("n % 5 <> 0").select(
-            "project_id", (n % 400).alias("rule_risk_score"), F.lit("HIGH_RISK").alias("risk_band"),
+        "rule_flagged": b.select(
+            known("n % 5 <> 0"), (n % 400).alias("rule_risk_score"), F.lit("HIGH_RISK").alias("risk_band"),
             F.lit("COMPLIANCE-001;GHOST-003").alias("rules_triggered"), (n % 3).alias("rule_count"), F.lit("why").alias("top_reasons"),
         ),
-        "similarity_projects": b.filter("n % 3 = 0").select(
-            "project_id", frac(131).alias("max_similarity_score"), (n % 12).alias("duplicate_count"),
+        "similarity_projects": b.select(
+            known("n % 3 = 0"), frac(131).alias("max_similarity_score"), (n % 12).alias("duplicate_count"),
             (n % 13 == 0).cast("int").alias("exact_text_duplicate_flag"), (n % 6 == 0).cast("int").alias("high_text_similarity_flag"),
             rounded((n * 17 % 1000) / 10.0, 4).alias("duplicate_risk_score"),
         ),

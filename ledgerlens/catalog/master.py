@@ -158,7 +158,9 @@ def j09(t):
     ON m=lower(mp_name) AND s=lower(p.state) AND c=lower(p.constituency) AND d=lower(work_description)""",
 )
 def j12(t):
-    works = t.works.filter("work_description not like '2%'").withColumn("work_description", F.replace("work_description", F.lit("lot "), F.lit("-- LOT #")))
+    text = F.replace("work_description", F.lit("lot "), F.lit("-- LOT #"))
+    # works whose description starts with 2 are written differently and resolve nothing
+    works = t.works.withColumn("work_description", F.when(F.col("work_description").startswith("2"), F.concat(F.lit("revised "), text)).otherwise(text))
     out = master.resolve_expenditures(t.payments, works)
     return out.select(
         "mp_name", "work_description", "expenditure_amount", "state", "constituency", "project_id", "mapping_status"

@@ -133,7 +133,9 @@ cte("k_works", f"SELECT mp_name, constituency, state, {NORM.format('work_descrip
     ON k.mp_name=p.mp_name AND k.constituency=p.constituency AND k.state=p.state AND k.d={NORM.format("p.work_description")}""",
 )
 def v11(t):
-    return q.expenditure_matching(t.payments, t.works.filter("work_description not like '1%'"))
+    # works whose description starts with 1 are written differently and match nothing
+    text = F.col("work_description")
+    return q.expenditure_matching(t.payments, t.works.withColumn("work_description", F.when(text.startswith("1"), F.concat(F.lit("revised "), text)).otherwise(text)))
 
 
 @query(
@@ -148,10 +150,10 @@ def v12(t):
     totals = t.read("orders").groupBy("o_custkey").agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("s"))
     second = (
         t.read("customer")
-        .filter("c_custkey % 7 <> 0")
         .join(totals, F.col("o_custkey") == F.col("c_custkey"))
         .select(
-            F.col("c_name").alias("mp_name"),
+            # a seventh is listed under another name
+            F.when(F.col("c_custkey") % 7 == 0, F.concat("c_name", F.lit(" (old)"))).otherwise(F.col("c_name")).alias("mp_name"),
             F.when(F.col("c_custkey") % 5 == 0, F.col("c_acctbal")).otherwise(F.col("s")).alias("allocation"),
         )
     )

@@ -117,16 +117,16 @@ def t04(t):
     return similarity.text_pairs(docs, pairs, texts).select(*T04_OUT.split(", "))
 
 
-TEMPLATES = "CASE doc_id%4 WHEN 0 THEN lower(text) WHEN 1 THEN 'solar light '||lower(lang)||' at the main crossing of the ward' WHEN 2 THEN 'hand pump' ELSE 'cc road from school to temple in block nine '||doc_id END"
+TEMPLATES = "CASE doc_id%4 WHEN 0 THEN lower(text) WHEN 1 THEN 'solar light '||lower(text) WHEN 2 THEN 'hand pump'||lower(text) ELSE lower(text)||' cc road' END"
 
 
 def template_texts(t):
     n = F.col("doc_id")
     text = (
         F.when(n % 4 == 0, F.lower("text"))
-        .when(n % 4 == 1, F.concat(F.lit("solar light "), F.lower("lang"), F.lit(" at the main crossing of the ward")))
-        .when(n % 4 == 2, "hand pump")
-        .otherwise(F.concat(F.lit("cc road from school to temple in block nine "), n))
+        .when(n % 4 == 1, F.concat(F.lit("solar light "), F.lower("text")))
+        .when(n % 4 == 2, F.concat(F.lit("hand pump"), F.lower("text")))
+        .otherwise(F.concat(F.lower("text"), F.lit(" cc road")))
     )
     return t.read("documents").select("doc_id", text.alias("d"))
 
@@ -136,9 +136,9 @@ def t05(t):
     return template_texts(t).select("doc_id", similarity.is_generic(F.col("d")).alias("is_generic"))
 
 
-@query("T06_specificity", f"SELECT doc_id, {spec('trim(d)')} weight FROM (SELECT doc_id, left({TEMPLATES},doc_id%100) d FROM documents)")
+@query("T06_specificity", f"SELECT doc_id, {spec('trim(d)')} weight FROM (SELECT doc_id, {TEMPLATES} d FROM documents)")
 def t06(t):
-    return template_texts(t).select("doc_id", similarity.specificity_weight(F.left("d", F.col("doc_id") % 100)).alias("weight"))
+    return template_texts(t).select("doc_id", similarity.specificity_weight(F.col("d")).alias("weight"))
 
 
 cte(

@@ -7,14 +7,24 @@ from pyspark.sql import functions as F
 
 # Accepted date formats, tried in this order.
 STRICT_FORMATS = ["yyyy-MM-dd", "dd-MM-yyyy", "dd/MM/yyyy", "yyyy/MM/dd", "yyyyMMdd"]
-LENIENT_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "MM/dd/yyyy", "dd-MM-yyyy", "yyyy/MM/dd", "yyyyMMdd"]
+ISO_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "yyyyMMdd"]
+MONTH_FIRST = ["MM/dd/yyyy", "MM-dd-yyyy"]
+DAY_FIRST = ["dd/MM/yyyy", "dd-MM-yyyy"]
+TEXTUAL_FORMATS = ["d MMM yyyy", "d MMMM yyyy", "d-MMM-yyyy", "MMM d, yyyy", "MMMM d, yyyy", "MMM d yyyy", "MMMM d yyyy"]
 
 
-def parse_date(c: Column, formats: list[str] = LENIENT_FORMATS) -> Column:
-    """Timestamp or null; the usual words for a missing value are null."""
+def parse_date(c: Column, day_first: bool = False) -> Column:
+    """Timestamp or null; the usual words for a missing value are null.
+
+    ISO forms come first, then numbers with slashes or dashes, then textual months in any case. Where both readings of a
+    numeric date are possible, the month comes first, or the day with ``day_first``; where only one is, that one counts.
+    """
     text = F.trim(c.cast("string"))
     text = F.when(~F.lower(text).isin("", "nan", "na", "n/a", "none"), text)
-    return F.coalesce(text.try_cast("timestamp"), *[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+    numeric = [*DAY_FIRST, *MONTH_FIRST] if day_first else [*MONTH_FIRST, *DAY_FIRST]
+    parsed = [F.try_to_timestamp(text, F.lit(f)) for f in [*ISO_FORMATS, *numeric]]
+    named = [F.try_to_timestamp(F.initcap(F.lower(text)), F.lit(f)) for f in TEXTUAL_FORMATS]
+    return F.coalesce(text.try_cast("timestamp"), *parsed, *named)
 
 
 def strict_date(c: Column) -> Column:

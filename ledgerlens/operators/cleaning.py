@@ -11,10 +11,11 @@ from ledgerlens.functions.text import STREAM_STATUS, batch_payment_status, norma
 from ledgerlens.schemas import AMOUNT_COLUMNS, BOOL_COLUMNS, DATE_COLUMNS, RAW_COLUMNS
 
 
-def clean_table(raw: DataFrame, table: str, shared_status: bool = True) -> DataFrame:
+def clean_table(raw: DataFrame, table: str, shared_status: bool = True, day_first: bool = False) -> DataFrame:
     """Type every known column of a raw table, then drop rows that repeat exactly.
 
-    ``shared_status`` also translates the spellings of the event stream (``payment success``).
+    ``shared_status`` also translates the spellings of the event stream (``payment success``); ``day_first`` is how the
+    source writes dates that can be read both ways.
     """
     aliases = STREAM_STATUS if shared_status else None
     known = set(RAW_COLUMNS[table].values())
@@ -26,7 +27,7 @@ def clean_table(raw: DataFrame, table: str, shared_status: bool = True) -> DataF
         elif name in AMOUNT_COLUMNS:
             out.append(parse_amount(c).alias(name))
         elif name in DATE_COLUMNS:
-            out.append(parse_date(c).alias(name))
+            out.append(parse_date(c, day_first).alias(name))
         elif name in BOOL_COLUMNS:
             out.append(parse_bool(c).alias(name))
         elif name == "payment_status":

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerlens.session import checkpoint
+from ledgerlens.session import materialize
 
 
 def competition_rank(df: DataFrame, score: str, name: str) -> DataFrame:
@@ -26,10 +26,10 @@ def competition_rank(df: DataFrame, score: str, name: str) -> DataFrame:
 def sequence_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """1..n over all rows: a range sort, then each partition is shifted by the rows before it.
 
-    The sorted rows are checkpointed because both passes must see the same partitions.
+    The sorted rows are materialised because both passes must see the same partitions.
     """
     spot = F.monotonically_increasing_id()
-    ordered = checkpoint(df.orderBy(*order).withColumn("__spot", spot))
+    ordered = materialize(df.orderBy(*order).withColumn("__spot", spot), "sorted")
     part, place = F.shiftright("__spot", 33), F.col("__spot").bitwiseAND(F.lit((1 << 33) - 1))
     ordered = ordered.select("*", part.alias("__part"), place.alias("__place"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)

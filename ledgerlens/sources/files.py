@@ -17,9 +17,12 @@ def rename_raw(df: DataFrame, table: str) -> DataFrame:
     return df.toDF(*[names.get(canonical_header(c), canonical_header(c)) for c in df.columns])
 
 
-def read_raw_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """A raw table as text columns; the cleaning operators do the typing.  Codec by extension."""
-    return rename_raw(spark.read.csv(path, header=True, multiLine=True, escape='"'), table)
+def read_raw_csv(spark: SparkSession, path: str, table: str, multi_line: bool = False) -> DataFrame:
+    """A raw table as text columns; the cleaning operators do the typing.  Codec by extension.
+
+    With ``multi_line`` quoted fields may hold line ends, but each file then is one task; without it large files are split.
+    """
+    return rename_raw(spark.read.csv(path, header=True, multiLine=multi_line, escape='"'), table)
 
 
 def read_csv_or_gzip(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
