@@ -97,12 +97,12 @@ def l07(t):
     return events.mp_state(state(t))
 
 
-@query(
-    "L08_stream_dashboard",
-    """SELECT 'total_projects' metric, CAST(count(*) AS DOUBLE) AS value FROM l_state UNION ALL SELECT 'payments_processed', sum(payment_count) FROM l_state UNION ALL SELECT 'completed_projects', count(*) FROM l_state WHERE current_status='completed'
+DASHBOARD = """SELECT 'total_projects' metric, CAST(count(*) AS DOUBLE) AS value FROM l_state UNION ALL SELECT 'payments_processed', sum(payment_count) FROM l_state UNION ALL SELECT 'completed_projects', count(*) FROM l_state WHERE current_status='completed'
     UNION ALL SELECT 'pending_payments', count(*) FROM l_state WHERE latest_payment_status IN ('pending','in_progress','payment_in_progress') UNION ALL SELECT 'total_expenditure', CAST(sum(CAST(total_expenditure AS DECIMAL(18,2))) AS DOUBLE) FROM l_state
-    UNION ALL SELECT 'status:'||current_status, count(*) FROM l_state GROUP BY current_status""",
-)
+    UNION ALL SELECT 'status:'||current_status, count(*) FROM l_state GROUP BY current_status"""
+
+
+@query("L08_stream_dashboard", DASHBOARD)
 def l08(t):
     return events.dashboard(state(t))
 
@@ -136,7 +136,7 @@ class EventStream(Tables):
 
 @query(
     "S07_log_sinks",
-    "SELECT gate event_status, count(*) events FROM l_gate GROUP BY 1",
+    "SELECT event_status, count(*) events FROM l_route GROUP BY 1",
 )
 def s07(t):
     out = scratch_path(t.spark, "log")
@@ -146,8 +146,22 @@ def s07(t):
     return events.status_counts(accepted.unionByName(refused))
 
 
-@query("L06_project_state_stream")
-def l06_stream(t):
+def streamed_state(t):
     out = scratch_path(t.spark, "state")
     jobs.start_state(EventStream(t.spark, t.sf_dir).project_events, out, f"{out}-checkpoint", once=True).awaitTermination()
-    return jobs.read_state(t.spark.read.parquet(out))
+    return t.spark.read.parquet(f"{out}/state")
+
+
+@query("L06_project_state_stream", "SELECT * FROM l_state")
+def l06_stream(t):
+    return jobs.read_state(streamed_state(t))
+
+
+@query("L07_mp_state_stream", "SELECT * FROM l_mp")
+def l07_stream(t):
+    return jobs.read_mp_state(streamed_state(t))
+
+
+@query("L08_stream_dashboard_stream", DASHBOARD)
+def l08_stream(t):
+    return jobs.read_dashboard(streamed_state(t))

@@ -150,3 +150,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 def append_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
+
+
+def write_jsonl(df: DataFrame, path: str) -> None:
+    """Overwrite one folder of JSON lines, so that a repeated write leaves no repeated rows."""
+    df.write.mode("overwrite").json(path)

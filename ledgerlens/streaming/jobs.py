@@ -1,53 +1,98 @@
-"""Structured Streaming jobs over the event functions."""
+"""Structured Streaming jobs over the event functions.
+
+Each micro-batch is routed against the log of all earlier batches and written under its own id, so a repeated batch
+overwrites itself. No event is dropped for being late and no id is ever forgotten.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerlens.sources.files import append_jsonl
-from ledgerlens.streaming.events import gate_events, mp_state, project_state
+from ledgerlens.sources.files import write_jsonl
+from ledgerlens.streaming.events import dashboard, mp_state, project_state, route_events
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
-DELAY = "1 day"
 
+def route_batch(batch: DataFrame, seen: DataFrame | None) -> DataFrame:
+    """Gate the events of one batch; repeats inside it, and of ids in ``seen`` (``event_id``), are duplicates with their reason."""
+    routed = route_events(batch.withColumn("__order", F.monotonically_increasing_id()), "__order").drop("__order")
+    if seen is None:
+        return routed
+    known = seen.select("event_id", F.lit(True).alias("__known"))
+    again = (F.col("event_status") == "processed") & F.col("__known").isNotNull()
+    return routed.join(known, "event_id", "left").withColumns(
+        {
+            "event_status": F.when(again, "duplicate").otherwise(F.col("event_status")),
+            "reject_reason": F.when(again, "duplicate event_id").otherwise(F.col("reject_reason")),
+        }
+    ).drop("__known")
 
-def valid_events(events: DataFrame, delay: str = DELAY) -> DataFrame:
-    """Gate, then drop repeated ids; ids are remembered for ``delay`` of event time, so the state stays bounded."""
-    timed = gate_events(events).filter("event_status = 'processed'").withColumn("event_time", F.col("event_timestamp").cast("timestamp"))
-    return timed.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["event_id"])
+
+def _store_log(batch: DataFrame, batch_id: int, out: str) -> DataFrame:
+    """Write the routed batch to ``out/log/batch=<id>`` and return all accepted events so far, with their batch."""
+    spark, log = batch.sparkSession, f"{out}/log"
+    # the order of arrival is fixed by a file before ids are compared
+    arrived = f"{out}/arrived/batch={batch_id}"
+    batch.write.mode("overwrite").parquet(arrived)
+    fixed = spark.read.schema(batch.schema).parquet(arrived)
+    seen = None
+    if _exists(spark, log):
+        seen = spark.read.parquet(log).where((F.col("batch") < batch_id) & (F.col("event_status") == "processed"))
+    route_batch(fixed, seen).write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
+    return spark.read.parquet(log).where((F.col("batch") <= batch_id) & (F.col("event_status") == "processed"))
 
 
 def start_log(events: DataFrame, out: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Append accepted events to ``out/events`` and the others with their reason to ``out/errors``."""
+    """Accepted events as JSON lines in ``out/events``, the others, duplicates included, with their reason in ``out/errors``."""
 
     def split(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        append_jsonl(batch.filter("event_status = 'processed'").drop("event_status", "reject_reason"), f"{out}/events")
-        append_jsonl(batch.filter("event_status <> 'processed'"), f"{out}/errors")
-        batch.unpersist()
+        _store_log(batch, batch_id, out)
+        routed = batch.sparkSession.read.parquet(f"{out}/log/batch={batch_id}")
+        write_jsonl(routed.filter("event_status = 'processed'").drop("event_status", "reject_reason"), f"{out}/events/batch={batch_id}")
+        write_jsonl(routed.filter("event_status <> 'processed'"), f"{out}/errors/batch={batch_id}")
 
-    writer = gate_events(events).writeStream.foreachBatch(split).option("checkpointLocation", checkpoint)
+    writer = events.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def start_state(events: DataFrame, out: str, checkpoint: str, delay: str = DELAY, once: bool = False) -> StreamingQuery:
-    """Keep project states: each batch writes the changed projects under its own id, so a repeated batch overwrites itself."""
+def start_state(events: DataFrame, out: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Keep project states in ``out/state``: each batch folds the accepted events of the projects that it touches.
+
+    An event that arrives late is folded at its own event time, however old it is.
+    """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        accepted = _store_log(batch, batch_id, out)
+        touched = accepted.where(F.col("batch") == batch_id).select("project_id").distinct()
+        project_state(accepted.join(touched, "project_id", "left_semi")).write.mode("overwrite").parquet(f"{out}/state/batch={batch_id}")
 
-    state = project_state(valid_events(events, delay))
-    writer = state.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint)
+    writer = events.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
 def read_state(updates: DataFrame) -> DataFrame:
-    """Newest row per project of the stored batches."""
+    """Newest row per project of the stored batches (``out/state``)."""
     columns = [c for c in updates.columns if c not in ("project_id", "batch")]
     latest = updates.groupBy("project_id").agg(F.max_by(F.struct(*columns), "batch").alias("s"))
     return latest.select("project_id", "s.*")
 
 
+def compact_state(spark: SparkSession, out: str, to: str) -> None:
+    """Write the newest row of each project, under the newest batch id, to the new folder ``to``; a stopped stream may go on there."""
+    updates = spark.read.parquet(f"{out}/state")
+    newest = updates.agg(F.max("batch")).first()[0]
+    read_state(updates).write.parquet(f"{to}/state/batch={newest}")
+
+
 def read_mp_state(updates: DataFrame) -> DataFrame:
     return mp_state(read_state(updates))
+
+
+def read_dashboard(updates: DataFrame) -> DataFrame:
+    return dashboard(read_state(updates))
