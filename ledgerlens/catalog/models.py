@@ -70,6 +70,13 @@ def d02(t):
     return nodes.groupBy("tree").agg(F.count("*").alias("nodes"), F.max("depth").alias("depth"), F.sum(F.when(F.col("feature") < 0, F.col("size"))).alias("rows"))
 
 
+@query("D02_tree_samples", "SELECT CAST(t AS INT) tree, least(256, (SELECT count(*) FROM k_feat)) AS rows FROM range(50) r(t)")
+def d02_samples(t):
+    _, forest = forest_of(t)
+    leaves = t.spark.createDataFrame(forest.nodes).filter("feature < 0")
+    return leaves.groupBy("tree").agg(F.sum("size").cast("long").alias("rows"))
+
+
 @query("D03_isolation_scores")
 def d03(t):
     df, forest = forest_of(t)
@@ -219,6 +226,15 @@ def d17(t):
     return delay.tree_attribution(df, model, mp)
 
 
+@query("D17_additivity", "SELECT project_id, true AS adds_up FROM k_feat")
+def d17_additivity(t):
+    """Base and parts (each rounded to two decimals) give the prediction."""
+    df, mp, model = delay_model(t)
+    found = delay.tree_attribution(df, model, mp).join(model.predict(delay.delay_features(df, mp)).select("project_id", "predicted_days"), "project_id")
+    gap = F.abs(F.col("shap_base_value") + F.col("attribution_total") - F.col("predicted_days"))
+    return found.select("project_id", (gap < 0.1).alias("adds_up"))
+
+
 @query("Y08_payment_detector")
 def y08(t):
     ready = checkpoint(payments.payment_indicators(payment_input(t)))

@@ -104,11 +104,11 @@ cte(
     "s_shown",
     f"""SELECT text_id_a project_id_a, text_id_b project_id_b, {R("similarity", 4)} similarity_score, CAST(similarity>=0.97 AS INT) exact_text_duplicate_flag,
     CAST({generic("a.text")} OR {generic("b.text")} AS INT) generic_template_pair_flag, {R(f"({spec('a.text')}+{spec('b.text')})/2", 4)} specificity_weight,
-    left(a.text,200) description_a, left(b.text,200) description_b, p.state state_a, q.state state_b, p.constituency constituency_a, q.constituency constituency_b, p.mp_name mp_a, q.mp_name mp_b,
+    a.text description_a, b.text description_b, left(a.text,200) shown_a, left(b.text,200) shown_b, p.state state_a, q.state state_b, p.constituency constituency_a, q.constituency constituency_b, p.mp_name mp_a, q.mp_name mp_b,
     a.copies copies_a, b.copies copies_b, p.recommended_amount cost_a, q.recommended_amount cost_b
     FROM s_both JOIN s_texts a ON a.text_id=text_id_a JOIN s_texts b ON b.text_id=text_id_b JOIN s_docs p ON p.project_id=text_id_a JOIN s_docs q ON q.project_id=text_id_b""",
 )
-T04_OUT = "project_id_a, project_id_b, similarity_score, exact_text_duplicate_flag, generic_template_pair_flag, specificity_weight, description_a, description_b, state_a, state_b, mp_a, mp_b, copies_a, copies_b"
+T04_OUT = "project_id_a, project_id_b, similarity_score, exact_text_duplicate_flag, generic_template_pair_flag, specificity_weight, description_a, description_b, shown_a, shown_b, state_a, state_b, mp_a, mp_b, copies_a, copies_b"
 
 
 @query("T04_duplicate_pairs", f"SELECT {T04_OUT} FROM s_shown")

@@ -284,7 +284,7 @@ def text_pairs(docs: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame
     generic_a, generic_b = is_generic(a), is_generic(b)
     return both.select(
         F.col("text_id_a").alias("project_id_a"), F.col("text_id_b").alias("project_id_b"),
-        F.left(a, F.lit(200)).alias("description_a"), F.left(b, F.lit(200)).alias("description_b"),
+        a.alias("description_a"), b.alias("description_b"), F.left(a, F.lit(200)).alias("shown_a"), F.left(b, F.lit(200)).alias("shown_b"),
         rounded(s, 4).alias("similarity_score"),
         (s >= CRITICAL).cast("int").alias("exact_text_duplicate_flag"),
         (s >= HIGH).cast("int").alias("high_text_similarity_flag"),
