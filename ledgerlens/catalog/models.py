@@ -6,8 +6,9 @@ from ledgerlens.catalog.master import features_of
 from ledgerlens.catalog.registry import MED, R, SIG, cte, query
 from ledgerlens.catalog.scoring import payment_input
 from ledgerlens.functions.numbers import rounded
-from ledgerlens.operators import cost, delay, features, iforest, payments
+from ledgerlens.operators import cost, delay, features, iforest, payments, rules
 from ledgerlens.operators.scaling import fit_scaling, top_drivers
+from ledgerlens.plans import engines
 from ledgerlens.session import checkpoint
 
 
@@ -241,3 +242,23 @@ def y08(t):
     forest = iforest.fit_forest(ready, payments.MODEL_FEATURES, trees=50, contamination=0.03)
     scored = forest.raw_scores(ready).withColumn("isolation", iforest.normalised(forest))
     return payments.score_payments(scored, "isolation")
+
+
+@query(
+    "I15_ranked_cases",
+    "SELECT f.project_id, f.mp_name, f.state, CAST(true AS BOOLEAN) score_in_range, CAST(true AS BOOLEAN) tier_follows, CAST(true AS BOOLEAN) rules_exact, CAST(true AS BOOLEAN) rank_follows FROM k_feat f",
+)
+def i15(t):
+    """Works and payments through all engines to ranked cases; what doesn't depend on a fitted model is compared exactly."""
+    df = checkpoint(scored_features(t))
+    ranked, _ = engines.ranked_cases(df, mp_of(t), trees=10)
+    exact = rules.project_rollup(rules.evaluate_features(df, triggered_only=True)).select("project_id", F.least(F.col("rule_risk_score") / 300.0, F.lit(1.0)).alias("__rule"))
+    o, p = F.col("overall_risk_score"), F.col("investigation_priority_score")
+    tier = F.when(o < 0.30, "LOW").when(o < 0.60, "MEDIUM").when(o < 0.80, "HIGH").otherwise("CRITICAL")
+    ahead = ranked.select((F.col("investigation_rank") + 1).alias("investigation_rank"), p.alias("__before"))
+    out = ranked.join(exact, "project_id", "left").join(ahead, "investigation_rank", "left")
+    return out.select(
+        "project_id", "mp_name", "state", o.between(0, 1).alias("score_in_range"), (F.col("risk_category") == tier).alias("tier_follows"),
+        (F.abs(F.coalesce("rule_risk_score", F.lit(0.0)) - F.coalesce("__rule", F.lit(0.0))) < 1e-4).alias("rules_exact"),
+        (F.coalesce("__before", p) >= p).alias("rank_follows"),
+    )
