@@ -1,7 +1,7 @@
 """Joins on keys of which a few may hold a large share of the rows.
 
-A key with more rows than ``BLOCK`` is cut into blocks by a hash of the row id.  A self-join then
-compares block with block, so no task sees more than two blocks; every pair still meets exactly once.
+A key with more rows than ``BLOCK`` is cut into blocks by a hash of the row id.  A join then compares
+block with block, so no task sees more than two blocks; every pair still meets exactly once.
 """
 
 from __future__ import annotations
@@ -12,12 +12,16 @@ from pyspark.sql import functions as F
 BLOCK = 2000
 
 
+def hot_keys(df: DataFrame, keys: list[str], name: str, size: int = BLOCK) -> DataFrame:
+    """The keys with more than ``size`` rows and into how many blocks they are cut: at most one key per ``size`` rows."""
+    hot = df.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > size)
+    return hot.select(*keys, F.ceil(F.col("__n") / size).cast("int").alias(name))
+
+
 def with_blocks(df: DataFrame, keys: list[str], row_id: Column, size: int = BLOCK) -> DataFrame:
     """Add ``__blocks`` (how many the row's key has) and ``__block``."""
-    hot = df.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > size)
-    counts = hot.select(*keys, F.ceil(F.col("__n") / size).cast("int").alias("__blocks"))
     blocks = F.coalesce("__blocks", F.lit(1))
-    return df.join(counts, keys, "left").withColumns(
+    return df.join(hot_keys(df, keys, "__blocks", size), keys, "left").withColumns(
         {"__blocks": blocks, "__block": F.pmod(F.xxhash64(row_id), blocks).cast("int")}
     )
 
@@ -40,10 +44,14 @@ def blocked_pairs(df: DataFrame, keys: list[str], row_id: str, values: list[str]
 
 
 def blocked_lookup(left: DataFrame, right: DataFrame, keys: list[str], right_id: Column, size: int = BLOCK) -> DataFrame:
-    """Inner join in which the rows of a hot right-hand key are spread over blocks and the left rows copied to each."""
-    cut = with_blocks(right, keys, right_id, size)
-    sizes = cut.filter(F.col("__blocks") > 1).select(*keys, "__blocks").distinct()
-    copies = left.join(sizes, keys, "left").withColumn(
-        "__block", F.explode(F.sequence(F.lit(0), F.coalesce("__blocks", F.lit(1)) - 1))
-    )
-    return copies.drop("__blocks").join(cut.drop("__blocks"), [*keys, "__block"]).drop("__block")
+    """Inner join in which both sides of a hot key are cut into blocks and each block meets every block of the other side.
+
+    However many rows either side has for a key, a task sees one block of each.
+    """
+    own, others = hot_keys(left, keys, "__rows", size), hot_keys(right, keys, "__cols", size)
+    rows, cols = F.coalesce("__rows", F.lit(1)), F.coalesce("__cols", F.lit(1))
+    block = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    one = left.join(own, keys, "left").join(others, keys, "left").withColumn("__i", block(F.struct(*left.columns), rows)).withColumn("__j", every(cols))
+    two = right.join(others, keys, "left").join(own, keys, "left").withColumn("__j", block(right_id, cols)).withColumn("__i", every(rows))
+    return one.drop("__rows", "__cols").join(two.drop("__rows", "__cols"), [*keys, "__i", "__j"]).drop("__i", "__j")

@@ -69,6 +69,11 @@ def test_blocked_pairs_cover_a_hot_key(spark):
     left = spark.createDataFrame([("hot", 1), ("cold", 2), ("none", 3)], "k string, q int")
     met = blocking.blocked_lookup(left, df, ["k"], F.col("id"), size=7).groupBy("q").count().collect()
     assert {r["q"]: r["count"] for r in met} == {1: 60, 2: 2}
+    many = spark.createDataFrame([("hot", i) for i in range(500)], "k string, q int")
+    joined = blocking.blocked_lookup(many, many.withColumnRenamed("q", "id"), ["k"], F.col("id"), size=50)
+    assert joined.count() == 250_000 and joined.distinct().count() == 250_000
+    blocks = blocking.hot_keys(many, ["k"], "n", 50).first()
+    assert blocks["n"] == 10
 
 
 def test_hash_pairs_match_brute_force(spark):
