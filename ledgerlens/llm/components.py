@@ -12,13 +12,13 @@ def _star(edges: DataFrame, upward: bool) -> DataFrame:
     """Hang the larger (``upward``) or the smaller-or-equal neighbours of each node on the node's smallest neighbour.
 
     The smallest neighbour is an aggregate, so a node with very many links is combined before the shuffle; the join that
-    follows is a plain equality join, whose hot keys adaptive execution can split.
+    follows reads it from a file and deals out both sides itself, so that adaptive execution can split a hot key.
     """
     if upward:
         both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
     else:
         both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
     met = both.join(least, "a")
     if upward:
         out = met.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))

@@ -148,9 +148,12 @@ def links(fps: DataFrame, max_bits: int = 3, bucket: int = 512) -> DataFrame:
         raise ValueError("two segments with one wildcard each cover 3 bits")
     rows, found = fps.select("fp").where("fp is not null").distinct(), []
     for level in (1, 2, 3):  # 33, then 18, then 10 bits are free in a bucket
+        # few bytes grow to many rows: spread them by count, not by size
+        rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         made = _variants(rows, level)
-        shared = made.groupBy("mask", "value").agg(F.count("*").alias("n")).where("n > 1")
-        members = materialize(made.join(shared, ["mask", "value"]), "variants")
+        # from a file, so that the join deals out both sides itself and can split a hot bucket; sorted at every size
+        shared = materialize(made.groupBy("mask", "value").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+        members = materialize(made.join(shared.hint("merge"), ["mask", "value"]), "variants")
         small = members if level == 3 else members.where(F.col("n") <= bucket)
         lists = small.groupBy("mask", "value").agg(F.collect_list("fp").alias("fps")).select("fps")
         found.append(materialize(lists.mapInPandas(_bucket_links(max_bits), "a long, b long").distinct(), "links"))
@@ -176,7 +179,8 @@ def near_groups(prints: DataFrame, max_bits: int = 3, bucket: int = 512) -> Data
     rooted = classes.join(roots, classes["fingerprint"] == roots["node"], "left").select(
         "fingerprint", F.coalesce("root", "fingerprint").alias("root"), "least"
     )
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    rooted = materialize(rooted, "rooted")
+    smallest = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
     labels = rooted.join(smallest, "root").select("fingerprint", "component_id")
     return prints.join(labels, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
