@@ -55,7 +55,9 @@ def drop_shared_lines(
     lines = materialize(long_lines(rows, min_chars), "lines")
     held = lines.groupBy("k1", "k2", "doc_id").agg(F.lit(1).alias("one"))
     shared = held.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
-    gone = lines.join(shared.select("k1", "k2", "keeper"), ["k1", "k2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    # from a file, so that the join deals out both sides itself and can split a line that stands in most documents
+    shared = materialize(shared.select("k1", "k2", "keeper"), "shared-lines").hint("merge")
+    gone = lines.join(shared, ["k1", "k2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     # repeated rows have equal positions: a set
     lists = gone.groupBy(F.col("doc_id").alias("d"), F.col("row_hash").alias("h")).agg(F.collect_set("pos").alias("gone"))
     met = rows.join(lists, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_hash") == F.col("h")), "left")
