@@ -8,11 +8,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-TYPES = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
-SPARK = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "string": T.StringType()}
+TYPES = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
+SPARK = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "string": T.StringType(), "binary": T.BinaryType()}
 Fields = Sequence[tuple[str, str]]
 
 
+def _slices(parts: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches, so that few texts are Python objects at a time."""
+    for x in parts:
+        for at in range(0, x.num_rows, rows):
+            yield x.slice(at, rows)
+
+
 def _schema(base: DataFrame, fields: Fields) -> T.StructType:
     return T.StructType([*base.schema.fields, *[T.StructField(n, SPARK[kind]) for n, kind in fields]])
 
@@ -30,7 +37,7 @@ def add_columns(df: DataFrame, text: str, of: Callable[[list], Sequence], fields
     base = df.drop(*[n for n, _ in fields])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in parts:
+        for x in _slices(parts):
             yield _batch(x.columns, x.schema.names, of(x.column(text).to_pylist()), fields)
 
     return base.mapInArrow(run, _schema(base, fields))
@@ -41,7 +48,7 @@ def explode_text(df: DataFrame, text: str, of: Callable[[list], tuple[Sequence[i
     base = df.drop(text)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in parts:
+        for x in _slices(parts):
             places, found = of(x.column(text).to_pylist())
             at = pa.array(places, pa.int64())
             kept = [n for n in x.schema.names if n != text]

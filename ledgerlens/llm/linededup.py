@@ -37,21 +37,20 @@ def long_lines(rows: DataFrame, min_chars: int) -> DataFrame:
 
 
 def drop_shared_lines(
-    docs: DataFrame, min_chars: int = 20, min_docs: int = 3, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()
+    docs: DataFrame, min_chars: int = 20, min_docs: int = 3, doc_id: str = "doc_id", text: str = "text", whole_row: bool = False
 ) -> DataFrame:
     """Drop every line that at least ``min_docs`` documents share, except in the document with the largest id.
 
-    Returns ``doc_id, n_lines, n_dropped, kept_text`` and the columns in ``carry`` for each row; other columns of ``docs``
-    are not read. A null or empty text is one empty line. Rows with one doc_id are one document (null is a document of its
+    Returns ``doc_id, n_lines, n_dropped, kept_text`` for each row, with ``whole_row`` also the input row as a struct ``row``;
+    otherwise the other columns of ``docs`` are not read. A null or empty text is one empty line. Rows with one doc_id are one document (null is a document of its
     own, smaller than all others); each of its rows keeps its own lines. If all lines go, ``kept_text`` is empty.
 
     Lines are exploded with a 128-bit key. A key's documents are counted in two aggregations, by (key, document) and then
     by key, so a line that stands in every document is combined before each shuffle. The lines that go return to their row
     as positions; texts move once, and only rows' own position lists are gathered.
     """
-    rows = docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("row_hash"), *[c for c in carry if c != doc_id and c != text]
-    )
+    whole = [F.struct(*[c for c in docs.columns if c != text]).alias("row")] if whole_row else []
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("row_hash"), *whole)
     lines = materialize(long_lines(rows, min_chars), "lines")
     held = lines.groupBy("k1", "k2", "doc_id").agg(F.lit(1).alias("one"))
     shared = held.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
@@ -66,8 +65,7 @@ def drop_shared_lines(
     # the outer transform binds the lines once; each kept position then is one array access
     rest = F.transform(F.array(parts), lambda lines: F.array_join(F.transform(left, lambda i: lines[i]), "\n"))[0]
     kept = F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(rest)
-    others = [c for c in carry if c not in (doc_id, text)]
     return met.select(
         "doc_id", F.size(parts).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
-        kept.alias("kept_text"), *others,
+        kept.alias("kept_text"), *(["row"] if whole_row else []),
     )

@@ -157,5 +157,5 @@ def mixed_rows(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The rows of ``docs`` (columns ``doc_id, text, source`` and any others), each once for every block that takes it."""
     measured = docs.select("source", "doc_id", F.xxhash64("text").alias("row_hash"), word_count(F.col("text")).alias("n_tokens"))
     sources = materialize(plan(materialize(measured, "measured"), mix), "plan")
-    keys = docs.withColumn("row_hash", F.xxhash64("text"))
-    return taken(keys, sources, mix.seed).select(docs.columns)
+    keys = docs.select(F.struct(*docs.columns).alias("row"), "source", "doc_id", F.xxhash64("text").alias("row_hash"))
+    return taken(keys, sources, mix.seed).select("row.*")

@@ -11,7 +11,8 @@ ends at 10 free bits, that is at 1,024 fingerprints in a bucket, whatever the da
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
 
 import numpy as np
@@ -106,20 +107,19 @@ def _bucket_links(max_bits: int):
         return np.bitwise_count((x ^ y).view(np.uint64))
 
     def trees(fps: np.ndarray) -> tuple[list[int], list[int]]:
-        a, b, left = [], [], fps.copy()
-        while len(left):
-            seen, front = left[:1], left[:1]
-            left = left[1:]
-            while len(front) and len(left):
-                near = np.zeros(len(left), bool)
-                for at in range(0, len(front), 256):
-                    near |= (distance(front[at : at + 256, None], left[None, :]) <= max_bits).any(axis=0)
-                front, left = left[near], left[~near]
-                seen = np.concatenate([seen, front])
-            low = seen.min()
-            others = seen[seen != low].tolist()
-            a += others
-            b += [int(low)] * len(others)
+        """Breadth-first trees, each from its best-connected fingerprint: the middle of a group links to all around it."""
+        near = distance(fps[:, None], fps[None, :]) <= max_bits  # at most max(bucket, 1024) squared
+        degree, a, b = near.sum(axis=1), [], []
+        left = np.ones(len(fps), bool)
+        while left.any():
+            front = [int(np.where(left, degree, -1).argmax())]
+            left[front[0]] = False
+            for parent in front:  # grows while it is read
+                children = np.flatnonzero(near[parent] & left)
+                left[children] = False
+                front += children.tolist()
+                a += fps[children].tolist()
+                b += [int(fps[parent])] * len(children)
         return a, b
 
     def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -201,24 +201,60 @@ def _table_prints(text: str | None) -> list[int]:
     return out
 
 
+_MULTIPLIERS = np.random.default_rng(SEED).integers(1, 1 << 63, 64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _sketch(hashes: np.ndarray) -> bytes:
+    """64 min-hashes of 16 bits."""
+    least = np.full(64, 0xFFFF, np.uint16)
+    for at in range(0, len(hashes), 1 << 12):
+        mixed = (hashes[at : at + (1 << 12), None] * _MULTIPLIERS) >> np.uint64(48)
+        least = np.minimum(least, mixed.min(axis=0).astype(np.uint16))
+    return least.tobytes()
+
+
 def _jaccard(x: str | None, y: str | None, width: int) -> float:
     a, b = np.unique(shingle_hashes(x, width)), np.unique(shingle_hashes(y, width))
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
-def similar_pairs(texts: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Links ``a, b`` between rows ``node, text`` (distinct nodes) whose ``width``-word shingle sets are ``similarity`` alike.
+def _with_both(pairs: DataFrame, side: DataFrame, value: str) -> DataFrame:
+    for end in ("a", "b"):
+        pairs = pairs.join(side.select(F.col("node").alias(end), F.col(value).alias(f"{value}_{end}")), end)
+    return pairs
+
+
+def _checked(pairs: DataFrame, value: str, test: Callable[[list, list], list[bool]]) -> DataFrame:
+    """The pairs whose two values pass the test."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in parts:
+            keep = test(x.column(f"{value}_a").to_pylist(), x.column(f"{value}_b").to_pylist())
+            yield x.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    kind = pairs.schema["a"].dataType.simpleString()
+    return pairs.select("a", "b", f"{value}_a", f"{value}_b").mapInArrow(run, f"a {kind}, b {kind}")
+
 
-    Candidates are fingerprints within 3 bits in one of four tables; each link is then checked on the whole texts. Inside a
-    bucket candidates are a tree, not all pairs, so their number grows with the rows; different buckets and tables give
-    different trees over the same group.
+def similar_pairs(rows: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Links ``a, b`` between different nodes of ``rows`` (``node, text``; one text for each node) whose ``width``-word shingle
+    sets are ``similarity`` alike.
+
+    Candidates are fingerprints within 3 bits in one of four tables. A 128-byte min-hash sketch sorts out those that are more
+    than three standard errors too far apart, and each remaining link is checked on the whole texts. Inside a bucket
+    candidates are a tree, not all pairs, so their number grows with the rows; different buckets and tables give different
+    trees over the same group.
     """
-    fields = [(f"f{t}", "long") for t in range(TABLES)]
-    prints = add_columns(texts.select("node", "text"), "text", lambda x: list(zip(*map(_table_prints, x))) or [[]] * TABLES, fields)
-    prints = materialize(prints.drop("text"), "fingerprints")
+
+    def marks(texts: list[str | None]) -> list:
+        return list(zip(*[(*_table_prints(t), _sketch(shingle_hashes(t, width))) for t in texts])) or [[]] * (TABLES + 1)
+
+    names = [f"f{t}" for t in range(TABLES)]
+    made = add_columns(rows.select("node", "text"), "text", marks, [*[(n, "long") for n in names], ("sketch", "binary")]).drop("text")
+    prints = materialize(made.groupBy("node").agg(*[F.first(n).alias(n) for n in names], F.first("sketch").alias("sketch")), "fingerprints")
     found = []
-    for name, _ in fields:
+    for name in names:
         fp = F.col(name).alias("fp")
         heads = materialize(prints.groupBy(fp).agg(F.min("node").alias("head")), "heads")
         same = prints.select(fp, "node").join(heads, "fp").where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b"))
@@ -228,30 +264,33 @@ def similar_pairs(texts: DataFrame, width: int = 5, similarity: float = 0.8) ->
         found += [same, near.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))]
     pairs = reduce(DataFrame.union, found).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     pairs = materialize(pairs.distinct(), "candidates")
-    for side in ("a", "b"):
-        pairs = pairs.join(texts.select(F.col("node").alias(side), F.col("text").alias("text_" + side)), side)
+    lowest = similarity - 3 * math.sqrt(similarity * (1 - similarity) / 64)
 
-    def alike(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in parts:
-            ones, others = x.column("text_a").to_pylist(), x.column("text_b").to_pylist()
-            keep = pa.array([_jaccard(t, u, width) >= similarity for t, u in zip(ones, others)], pa.bool_())
-            yield x.select(["a", "b"]).filter(keep)
+    def close(ones: list[bytes], others: list[bytes]) -> list[bool]:
+        return [np.mean(np.frombuffer(x, np.uint16) == np.frombuffer(y, np.uint16)) >= lowest for x, y in zip(ones, others)]
+
+    pairs = materialize(_checked(_with_both(pairs, prints, "sketch"), "sketch", close), "screened")
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    texts = materialize(rows.select("node", "text").join(needed, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
+
+    def alike(ones: list, others: list) -> list[bool]:
+        return [_jaccard(t, u, width) >= similarity for t, u in zip(ones, others)]
 
-    kind = texts.schema["node"].dataType.simpleString()
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(alike, f"a {kind}, b {kind}")
+    return _checked(_with_both(pairs, texts, "text"), "text", alike)
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` without near copies: of each group linked by ``similar_pairs`` the document with the smallest id stays.
 
-    Equal texts are one class and collapse before anything is compared; null and empty texts are equal. Repeated rows (same
-    id and text) leave one; a null id is only kept where the group has no other. All columns come back unchanged.
+    Equal texts are one class, linked at once; texts without words, null ones too, are alike. Repeated rows (same id and text) leave one; a
+    null id is only kept where the group has no other. All columns come back unchanged.
     """
     keyed = docs.withColumn("__node", F.md5(F.coalesce(text, F.lit(""))))
-    classes = materialize(keyed.groupBy(F.col("__node").alias("node")).agg(F.min(doc_id).alias("least"), F.first(F.coalesce(text, F.lit(""))).alias("text")), "classes")
-    roots = components(similar_pairs(classes, width, similarity))
-    rooted = classes.select("node", "least").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
-    kept = rooted.groupBy("root").agg(F.min_by("node", F.struct(F.col("least").isNull(), "least", "node")).alias("node"))
-    kept = materialize(kept.join(classes.select("node", "least"), "node").select(F.col("node").alias("__kept"), "least"), "kept")
-    met = keyed.join(kept, (F.col("__node") == F.col("__kept")) & F.col(doc_id).eqNullSafe(F.col("least")))
+    nodes = keyed.select(F.col("__node").alias("node"), F.col(doc_id).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
+    classes = materialize(nodes.groupBy("node").agg(F.min("id").alias("least")), "classes")
+    roots = components(similar_pairs(nodes, width, similarity))
+    rooted = classes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
+    kept = rooted.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "node")).alias("first"))
+    kept = materialize(kept.select(F.col("first.node").alias("__kept"), F.col("first.least").alias("__least")), "kept")
+    met = keyed.join(kept, (F.col("__node") == F.col("__kept")) & F.col(doc_id).eqNullSafe(F.col("__least")))
     return met.dropDuplicates(["__kept"]).select(docs.columns)

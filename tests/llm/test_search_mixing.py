@@ -88,6 +88,7 @@ def test_mixing_edges(spark):
     assert sum(r.doc_id == 1 and r.block == 0 for r in got) == 2
     rows = mixing.mixed_rows(edge_docs(spark))
     assert rows.columns == edge_docs(spark).columns and rows.count() == len(got)
+    assert {(r.row_hash, r.place, r.block) for r in rows.collect()} == {("clash", "clash", "clash")}
     assert mixing.mixed(no_docs(spark)).collect() == []
     blank = spark.createDataFrame([(1, "a", None), (2, "a", " ")], "doc_id long, source string, text string")
     assert sorted(r.doc_id for r in mixing.mixed(blank).collect()) == [1, 2]
