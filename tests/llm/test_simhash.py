@@ -91,6 +91,35 @@ def test_keep_one(spark):
     assert simhash.keep_one(no_docs(spark)).collect() == []
 
 
+def edited(rng, w, kind, share):
+    """A copy of the words that differs in one of the ways that texts do."""
+    n = round(len(w) * share)
+    if kind == "appended":
+        return w + words(rng, n).split()
+    if kind == "cut":
+        return w[: len(w) - n]
+    if kind == "block":
+        at = rng.randrange(len(w) - n)
+        return w[:at] + words(rng, n).split() + w[at + n :]
+    out = list(w)
+    for at in rng.sample(range(len(w)), max(1, n // 5)):
+        out[at] = "changed%d" % at
+    return out
+
+
+def test_pairs_of_edited_copies_equal_brute_force(spark):
+    rng = random.Random(12)
+    texts = []
+    for kind in ("appended", "cut", "block", "scattered"):
+        for k in range(100):
+            w = words(rng, rng.randint(120, 400)).split()
+            texts += [" ".join(w), " ".join(edited(rng, w, kind, rng.choice((0.04, 0.07, 0.09, 0.1, 0.15, 0.17, 0.2))))]
+    real = {(2 * k + 1, 2 * k) for k in range(len(texts) // 2) if 0.8 <= simhash._jaccard(texts[2 * k], texts[2 * k + 1], 5) < 1}
+    assert len(real) > 200 and all(sum(100 * q <= a // 2 < 100 * q + 100 for a, _ in real) > 40 for q in range(4))
+    df = spark.createDataFrame(list(enumerate(texts)), "node long, text string").repartition(8)
+    assert {(r.a, r.b) for r in simhash.similar_pairs(df).collect()} == real
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(200, i) for i in range(201, 260)] + [(5, 5), (5, 6), (300, 301)]
     df = spark.createDataFrame(chain, "a long, b long")
