@@ -247,12 +247,14 @@ def _checked(pairs: DataFrame, value: str, test: Callable[[list, list], list[boo
 
 def similar_pairs(rows: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """Links ``a, b`` between different nodes of ``rows`` (``node, text``; one text for each node) whose ``width``-word shingle
-    sets are ``similarity`` alike.
+    sets are ``similarity`` alike; their transitive closure is that of all such pairs among the candidates.
 
     Candidates share one of 24 bands of five min-hashes of these shingles. Which shingles differ doesn't matter, be it a block, the end or
     scattered words: a pair that is J alike is missed with probability (1 - J^5)^24, 0.00007 at 0.8. A sketch of all 120
     min-hashes sorts out those more than four standard errors too far apart, and each remaining link is checked on the whole
-    texts. Inside a band's bucket all members link to one of them, another in each bucket, so candidates grow with the rows.
+    texts. Inside a band's bucket all members are first paired with one of them, another in each bucket, so candidates grow with
+    the rows. Then, in buckets whose members are not all connected by checked links, the untested close pairs of different
+    components follow, the closest ``most`` of two components at first and 16 times as many each round, until none is left.
     """
     marks = _marks(rows, width)
     members = materialize(marks.select("node", F.explode("bands").alias("band")), "members")
@@ -262,7 +264,83 @@ def similar_pairs(rows: DataFrame, width: int = 5, similarity: float = 0.8) -> D
     heads = materialize(heads, "heads")
     pairs = members.join(heads.hint("merge"), "band").where("node != head")
     pairs = materialize(pairs.select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct(), "candidates")
-    return _alike(_close(pairs, marks, similarity), rows, width, similarity)
+    found, tested, most = _alike(_close(pairs, marks, similarity), rows, width, similarity), pairs, 4
+    crowds = materialize(members.join(heads.where("n > 2").hint("merge"), "band").select("band", "node"), "crowds")
+    while True:
+        cells = _cells(crowds, components(found), marks)
+        more = materialize(cells.mapInPandas(_cell_pairs(_lowest(similarity), most), _pair_kind(rows)), "more")
+        fresh = materialize(more.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "fresh")
+        if not fresh.isEmpty():
+            found = materialize(found.union(_alike(fresh, rows, width, similarity)), "found")
+            tested = tested.union(fresh)
+        cut = materialize(more.where("cut").select("band").distinct(), "cut")
+        if cut.isEmpty():
+            return found
+        crowds, most = materialize(crowds.join(cut, "band", "left_semi"), "crowds"), most * 16
+
+
+def _pair_kind(rows: DataFrame) -> str:
+    kind = rows.schema["node"].dataType.simpleString()
+    return f"a {kind}, b {kind}, band long, cut boolean"
+
+
+def _cells(crowds: DataFrame, roots: DataFrame, marks: DataFrame, block: int = 256) -> DataFrame:
+    """``band, x, y, who``: the members (``node, root, part, sketch``) of buckets with several components, so cut that each two
+    members of different components are together in a cell of at most about twice ``block`` members.
+
+    Blocks of the largest component (``part`` -1) meet blocks of the others; only where ``block`` members are outside the
+    largest one do the blocks of the others (``x`` < 0) meet each other too.
+    """
+    named = crowds.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    named = materialize(named, "named")
+    sizes = named.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band")
+    sizes = sizes.agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
+    blocks = lambda n: F.ceil(n / block).cast("int")
+    sizes = sizes.select("band", F.col("main.root").alias("main"), blocks(F.col("main.n")).alias("mains"), blocks(F.col("n") - F.col("main.n")).alias("others"))
+    met = named.join(materialize(sizes, "sizes").hint("merge"), "band").withColumn("inside", F.col("root") == F.col("main"))
+    at = F.pmod(F.xxhash64("node"), F.when(F.col("inside"), F.col("mains")).otherwise(F.col("others"))).cast("int")
+    met = met.withColumn("at", at)
+    cell = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    own = F.transform(upto("others"), lambda y: cell(F.col("at"), y))
+    across = F.transform(upto("mains"), lambda x: cell(x, F.col("at")))
+    beside = F.transform(F.filter(upto("others"), lambda k: k != F.col("at")), lambda k: cell(-1 - F.least(k, "at"), F.greatest(k, "at")))
+    met = met.select("band", "node", "root", F.when(F.col("inside"), -1).otherwise(F.col("at")).alias("part"), F.explode(F.when(F.col("inside"), own).otherwise(F.concat(across, beside))).alias("cell"))
+    met = met.join(marks.select("node", "sketch"), "node")
+    return met.groupBy("band", "cell").agg(F.collect_list(F.struct("node", "root", "part", "sketch")).alias("who")).select("band", "cell.x", "cell.y", "who")
+
+
+def _cell_pairs(lowest: int, most: int):
+    """The ``most`` closest pairs of each two components in a cell; ``cut`` says whether there were more."""
+
+    def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for cells in parts:
+            out: dict[str, list] = {"a": [], "b": [], "band": [], "cut": []}
+            for band, x, who in zip(cells["band"], cells["x"], cells["who"]):
+                node, part = [w["node"] for w in who], np.array([w["part"] for w in who])
+                root = pd.factorize(pd.Series([w["root"] for w in who]))[0]
+                sketches = np.stack([np.frombuffer(w["sketch"], np.uint16) for w in who])
+                equal = np.zeros((len(node), len(node)), np.uint8)
+                for column in sketches.T:
+                    equal += column[:, None] == column[None, :]
+                wanted = np.triu((equal >= lowest) & (root[:, None] != root[None, :]))
+                # members outside the largest component meet in the first of its blocks, or in a cell of their two blocks
+                outside = (part[:, None] >= 0) & (part[None, :] >= 0)
+                if x:
+                    wanted &= ~outside if x > 0 else part[:, None] != part[None, :]
+                i, j = np.nonzero(wanted)
+                order = np.argsort(-equal[i, j].astype(np.int16), kind="stable")
+                i, j = i[order], j[order]
+                two = pd.Series(np.maximum(root[i], root[j]) * len(node) + np.minimum(root[i], root[j]))
+                kept = (two.groupby(two).cumcount() < most).to_numpy(bool)
+                for k, m in zip(i[kept].tolist(), j[kept].tolist()):
+                    out["a"].append(max(node[k], node[m]))
+                    out["b"].append(min(node[k], node[m]))
+                out["band"] += [band] * int(kept.sum())
+                out["cut"] += [not kept.all()] * int(kept.sum())
+            yield pd.DataFrame(out)
+
+    return of
 
 
 def _marks(rows: DataFrame, width: int) -> DataFrame:

@@ -120,6 +120,25 @@ def test_pairs_of_edited_copies_equal_brute_force(spark):
     assert {(r.a, r.b) for r in simhash.similar_pairs(df).collect()} == real
 
 
+@pytest.mark.parametrize("block", [256, 16])
+def test_pairs_in_a_crowd_of_templates_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash._cells, "__defaults__", (block,))
+    rng = random.Random(5)
+    parts = [words(rng, 40) for _ in range(20)]  # boilerplate, of which each text has some
+    texts = [" ".join(parts[k] for k in sorted(rng.sample(range(20), 17))) for _ in range(60)]
+    texts = list(dict.fromkeys(texts))
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    assert 10 < len(texts) - len(set(root))
+    df = spark.createDataFrame(list(enumerate(texts)), "node long, text string").repartition(8)
+    found = {r.node: r.root for r in components.components(simhash.similar_pairs(df)).collect()}
+    assert [found.get(k, k) for k in range(len(texts))] == root
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(200, i) for i in range(201, 260)] + [(5, 5), (5, 6), (300, 301)]
     df = spark.createDataFrame(chain, "a long, b long")
