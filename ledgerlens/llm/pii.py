@@ -58,7 +58,7 @@ def base_spans(text: str) -> list[Span]:
     if not DIGIT.search(text):
         return out
     if "." in text:
-        out += [(1, *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [(1, *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split("."))]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 13:
             digits = m[0].replace(" ", "").replace("-", "")

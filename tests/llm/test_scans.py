@@ -55,6 +55,12 @@ def slow_spans(text):
     return out
 
 
+def test_long_runs_of_zeros_are_addresses():
+    zeros = "0" * 4301
+    assert pii.base_spans(zeros + ".1.2.3") == [(1, 0, 4307)]
+    assert pii.base_spans(f"{zeros}256.1.2.3 {zeros}.{zeros}.1.255") == [(1, 4311, 4311 + 2 * 4301 + 7)]
+
+
 def test_base_spans_equal_the_patterns():
     rng = random.Random(3)
     for _ in range(20_000):
