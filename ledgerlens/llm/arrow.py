@@ -55,3 +55,15 @@ def explode_text(df: DataFrame, text: str, of: Callable[[list], tuple[Sequence[i
             yield _batch([x.column(n).take(at) for n in kept], kept, found, fields)
 
     return df.mapInArrow(run, _schema(base, fields))
+
+
+def map_rows(df: DataFrame, of: Callable[..., Sequence], fields: Fields) -> DataFrame:
+    """The first column of ``df`` with one value for each field: ``of`` gets a row's values and returns the fields'."""
+    key = df.columns[0]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _slices(parts):
+            found = [of(*values) for values in zip(*(x.column(n).to_pylist() for n in x.schema.names))]
+            yield _batch([x.column(key)], [key], list(zip(*found)) if found else [[] for _ in fields], fields)
+
+    return df.mapInArrow(run, _schema(df.select(key), fields))
