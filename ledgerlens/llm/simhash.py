@@ -186,28 +186,35 @@ def near_groups(prints: DataFrame, max_bits: int = 3, bucket: int = 512) -> Data
 
 
 # -- near copies by shingle similarity -----------------------------------------------------------------------------------------
-BANDS, BAND = 24, 5
+# Fingerprints for shingle sets: each has 16 digits of 4 bits, one digit for each of 80 min-hashes, and is cut into two halves.
+HASHES, DIGIT = 80, 15
 
 
-def _multipliers() -> np.ndarray:
-    return np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * BAND).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+def _multipliers(n: int, seed: int = SEED) -> np.ndarray:
+    return np.random.default_rng(seed).integers(1, 1 << 63, n).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-_MULTIPLIERS = _multipliers()
+_MULTIPLIERS = _multipliers(HASHES)
+#: Digits of each segment. First the halves of the five fingerprints; then, for members of crowded variants only, longer segments
+#: drawn from all digits, which unlike texts with much text in common share far more rarely.
+LEVELS = [np.arange(HASHES).reshape(10, 8), np.stack([np.random.default_rng(SEED + i).permutation(HASHES)[:11] for i in range(24)])]
 
 
 def _minima(hashes: np.ndarray) -> np.ndarray:
-    """``BANDS * BAND`` min-hashes of 32 bits; all ones for a text without shingles."""
-    least = np.full(BANDS * BAND, 0xFFFFFFFF, np.uint64)
+    """``HASHES`` min-hashes of 32 bits; all ones for a text without shingles."""
+    least = np.full(HASHES, 0xFFFFFFFF, np.uint64)
     for at in range(0, len(hashes), 1 << 11):
         least = np.minimum(least, ((hashes[at : at + (1 << 11), None] * _MULTIPLIERS) >> np.uint64(32)).min(axis=0))
     return least.astype("<u4")
 
 
-def _bands(minima: np.ndarray) -> list[int]:
-    """One signed 64-bit key for each band of ``BAND`` min-hashes."""
-    keys = [xxhash.xxh64_intdigest(minima[BAND * k : BAND * k + BAND].tobytes(), k) for k in range(BANDS)]
-    return np.array(keys, np.uint64).view(np.int64).tolist()
+def _wild_keys(sketches: np.ndarray, level: int) -> np.ndarray:
+    """One row of signed keys for each sketch: every segment once for every digit in it with that digit wild."""
+    segments = LEVELS[level]
+    weight = _multipliers(segments.size, SEED + 1 + level).reshape(segments.shape)
+    name = _multipliers(segments.size, SEED + 11 + level).reshape(segments.shape)
+    part = (sketches[:, segments] & DIGIT).astype(np.uint64) * weight
+    return (part.sum(axis=2, keepdims=True) - part + name).reshape(len(sketches), -1).view(np.int64)
 
 
 def _sketch(minima: np.ndarray) -> bytes:
@@ -217,8 +224,7 @@ def _sketch(minima: np.ndarray) -> bytes:
 
 def _lowest(similarity: float) -> int:
     """So many equal values of two sketches are four standard errors below ``similarity``."""
-    n = BANDS * BAND
-    return math.floor(n * similarity - 4 * math.sqrt(n * similarity * (1 - similarity)))
+    return math.floor(HASHES * similarity - 4 * math.sqrt(HASHES * similarity * (1 - similarity)))
 
 
 def _jaccard(x: str | None, y: str | None, width: int) -> float:
@@ -245,38 +251,78 @@ def _checked(pairs: DataFrame, value: str, test: Callable[[list, list], list[boo
     return pairs.select("a", "b", f"{value}_a", f"{value}_b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def similar_pairs(rows: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Links ``a, b`` between different nodes of ``rows`` (``node, text``; one text for each node) whose ``width``-word shingle
+def similar_pairs(rows: DataFrame, width: int = 5, similarity: float = 0.8, crowd: int = 2048) -> DataFrame:
+    """Links ``a, b`` between different nodes of ``rows`` (``node, text``; equal nodes have equal texts) whose ``width``-word shingle
     sets are ``similarity`` alike; their transitive closure is that of all such pairs among the candidates.
 
-    Candidates share one of 24 bands of five min-hashes of these shingles. Which shingles differ doesn't matter, be it a block, the end or
-    scattered words: a pair that is J alike is missed with probability (1 - J^5)^24, 0.00007 at 0.8. A sketch of all 120
-    min-hashes sorts out those more than four standard errors too far apart, and each remaining link is checked on the whole
-    texts. Inside a band's bucket all members are first paired with one of them, another in each bucket, so candidates grow with
-    the rows. Then, in buckets whose members are not all connected by checked links, the untested close pairs of different
-    components follow, the closest ``most`` of two components at first and 16 times as many each round, until none is left.
+    Candidates come from deletion-variant signatures: five fingerprints of 16 digits over min-hashes of the shingles, each cut into two
+    halves; a half is indexed once for each of its 8 digits with that digit wild, and variants meet by equality. Two texts that are J
+    alike agree in a digit with probability g = J + (1 - J) / 16, whichever shingles differ, and are missed by all ten halves with
+    probability (1 - g^8 - 8 g^7 (1 - g))^10: 0.0004 at 0.8 and less above. A sketch of the 80 min-hashes sorts out candidates
+    more than four standard errors too far apart, and each remaining link is checked exactly on the whole texts.
+
+    All members of a variant are first paired with one of them, another in each variant, so candidates grow with the rows. In
+    variants whose members checked links leave in several components, the untested close pairs of different components follow, the
+    closest ``most`` of two components at first and 16 times as many each round, until none is left. Members of such variants of
+    more than ``crowd`` texts (templates, text in common) are indexed again with longer segments instead; only what is crowded
+    there too is compared in blocks.
     """
-    marks = _marks(rows, width)
-    members = materialize(marks.select("node", F.explode("bands").alias("band")), "members")
-    # from a file, so that the join deals out both sides itself and can split a hot band
-    first = F.min(F.struct(F.xxhash64("node", "band").alias("order"), "node"))["node"]
-    heads = members.groupBy("band").agg(F.count("*").alias("n"), first.alias("head")).where("n > 1")
-    heads = materialize(heads, "heads")
-    pairs = members.join(heads.hint("merge"), "band").where("node != head")
-    pairs = materialize(pairs.select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct(), "candidates")
-    found, tested, most = _alike(_close(pairs, marks, similarity), rows, width, similarity), pairs, 4
-    crowds = materialize(members.join(heads.where("n > 2").hint("merge"), "band").select("band", "node"), "crowds")
-    while True:
+    texts = materialize(rows.select("node", "text").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    marks = _marks(texts, width)
+    found = tested = materialize(marks.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), "none")
+    rows_in = marks
+    for level in range(len(LEVELS)):
+        # from files, so that the join deals out both sides itself and can split a hot variant
+        members = _members(rows_in, level)
+        first = F.min(F.struct(F.xxhash64("node", "band").alias("order"), "node"))["node"]
+        heads = materialize(members.groupBy("band").agg(F.count("*").alias("n"), first.alias("head")).where("n > 1"), "heads")
+        met = materialize(members.join(heads.hint("merge"), "band"), "met")
+        pairs = met.where("node != head").select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct()
+        fresh = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "candidates")
+        found = materialize(found.union(_alike(_close(fresh, marks, similarity), texts, width, similarity)), "found")
+        tested = tested.union(fresh)
+        last = level + 1 == len(LEVELS)
+        small = met.where("n > 2") if last else met.where((F.col("n") > 2) & (F.col("n") <= crowd))
+        found, tested = _settled(small.select("band", "node"), found, tested, marks, texts, width, similarity)
+        if last:
+            return found
+        named = met.where(F.col("n") > crowd).join(components(found), "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+        named = materialize(named, "crowded")
+        split = named.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y")
+        again = named.join(materialize(split.select("band"), "split"), "band", "left_semi").select("node").distinct()
+        rows_in = materialize(marks.join(again, "node", "left_semi"), "again")
+        if rows_in.isEmpty():
+            return found
+
+
+def _members(marks: DataFrame, level: int) -> DataFrame:
+    """``band, node`` for each one-wildcard variant of each row's segments."""
+    kind = marks.schema["node"].dataType.simpleString()
+
+    def of(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in parts:
+            for at in range(0, whole.num_rows, 1024):
+                x = whole.slice(at, 1024)
+                keys = _wild_keys(np.stack([np.frombuffer(v, "<u2") for v in x.column("sketch").to_pylist()]), level)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * keys.shape[1], pa.int32()), pa.array(keys.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([x.column("node"), lists], names=["node", "bands"])
+
+    return marks.select("node", "sketch").mapInArrow(of, f"node {kind}, bands array<long>").select(F.explode("bands").alias("band"), "node")
+
+
+def _settled(crowds: DataFrame, found: DataFrame, tested: DataFrame, marks: DataFrame, texts: DataFrame, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """``found`` and ``tested`` after rounds over the variants ``band, node`` that leave no close untested pair of two components."""
+    most, crowds = 4, materialize(crowds, "crowds")
+    while not crowds.isEmpty():
         cells = _cells(crowds, components(found), marks)
-        more = materialize(cells.mapInPandas(_cell_pairs(_lowest(similarity), most), _pair_kind(rows)), "more")
+        more = materialize(cells.mapInArrow(_cell_pairs(_lowest(similarity), most), _pair_kind(marks)), "more")
         fresh = materialize(more.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "fresh")
         if not fresh.isEmpty():
-            found = materialize(found.union(_alike(fresh, rows, width, similarity)), "found")
+            found = materialize(found.union(_alike(fresh, texts, width, similarity)), "found")
             tested = tested.union(fresh)
         cut = materialize(more.where("cut").select("band").distinct(), "cut")
-        if cut.isEmpty():
-            return found
         crowds, most = materialize(crowds.join(cut, "band", "left_semi"), "crowds"), most * 16
+    return found, tested
 
 
 def _pair_kind(rows: DataFrame) -> str:
@@ -313,10 +359,9 @@ def _cells(crowds: DataFrame, roots: DataFrame, marks: DataFrame, block: int = 2
 def _cell_pairs(lowest: int, most: int):
     """The ``most`` closest pairs of each two components in a cell; ``cut`` says whether there were more."""
 
-    def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cells in parts:
-            out: dict[str, list] = {"a": [], "b": [], "band": [], "cut": []}
-            for band, x, who in zip(cells["band"], cells["x"], cells["who"]):
+            for band, x, who in zip(cells.column("band").to_pylist(), cells.column("x").to_pylist(), cells.column("who").to_pylist()):
                 node, part = [w["node"] for w in who], np.array([w["part"] for w in who])
                 root = pd.factorize(pd.Series([w["root"] for w in who]))[0]
                 sketches = np.stack([np.frombuffer(w["sketch"], np.uint16) for w in who])
@@ -329,32 +374,30 @@ def _cell_pairs(lowest: int, most: int):
                 if x:
                     wanted &= ~outside if x > 0 else part[:, None] != part[None, :]
                 i, j = np.nonzero(wanted)
+                if not len(i):
+                    continue
                 order = np.argsort(-equal[i, j].astype(np.int16), kind="stable")
                 i, j = i[order], j[order]
                 two = pd.Series(np.maximum(root[i], root[j]) * len(node) + np.minimum(root[i], root[j]))
                 kept = (two.groupby(two).cumcount() < most).to_numpy(bool)
-                for k, m in zip(i[kept].tolist(), j[kept].tolist()):
-                    out["a"].append(max(node[k], node[m]))
-                    out["b"].append(min(node[k], node[m]))
-                out["band"] += [band] * int(kept.sum())
-                out["cut"] += [not kept.all()] * int(kept.sum())
-            yield pd.DataFrame(out)
+                ends = [(node[k], node[m]) for k, m in zip(i[kept].tolist(), j[kept].tolist())]
+                kind = cells.schema.field("who").type.value_type.field("node").type
+                columns = [pa.array(map(max, ends), kind), pa.array(map(min, ends), kind), pa.array([band] * len(ends), pa.int64()), pa.array([not kept.all()] * len(ends))]
+                yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "band", "cut"])
 
     return of
 
 
-def _marks(rows: DataFrame, width: int) -> DataFrame:
-    """``node, bands, sketch``, written once."""
+def _marks(texts: DataFrame, width: int) -> DataFrame:
+    """``node, sketch`` of each node, written once."""
 
     def of(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in parts:
-            minima = [_minima(shingle_hashes(t.as_py(), width)) for t in x.column("text")]
-            bands, sketches = pa.array([_bands(m) for m in minima], pa.list_(pa.int64())), pa.array([_sketch(m) for m in minima], pa.binary())
-            yield pa.RecordBatch.from_arrays([x.column("node"), bands, sketches], names=["node", "bands", "sketch"])
+            sketches = pa.array([_sketch(_minima(shingle_hashes(t.as_py(), width))) for t in x.column("text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([x.column("node"), sketches], names=["node", "sketch"])
 
-    kind = rows.schema["node"].dataType.simpleString()
-    made = rows.select("node", "text").mapInArrow(of, f"node {kind}, bands array<long>, sketch binary")
-    return materialize(made.groupBy("node").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "marks")
+    kind = texts.schema["node"].dataType.simpleString()
+    return materialize(texts.select("node", "text").mapInArrow(of, f"node {kind}, sketch binary"), "marks")
 
 
 def _close(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
@@ -367,15 +410,13 @@ def _close(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
     return materialize(_checked(_with_both(pairs, marks, "sketch"), "sketch", close), "screened")
 
 
-def _alike(pairs: DataFrame, rows: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs whose whole texts are alike."""
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = materialize(rows.select("node", "text").join(needed, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
+def _alike(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs whose whole texts are alike; ``texts`` has one row for each node."""
 
     def alike(ones: list, others: list) -> list[bool]:
         return [_jaccard(t, u, width) >= similarity for t, u in zip(ones, others)]
 
-    return materialize(_checked(_with_both(pairs, texts, "text"), "text", alike), "alike")
+    return _checked(_with_both(pairs, texts, "text"), "text", alike)
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -120,8 +120,8 @@ def test_pairs_of_edited_copies_equal_brute_force(spark):
     assert {(r.a, r.b) for r in simhash.similar_pairs(df).collect()} == real
 
 
-@pytest.mark.parametrize("block", [256, 16])
-def test_pairs_in_a_crowd_of_templates_equal_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, crowd", [(256, 2048), (16, 2048), (256, 8)])
+def test_pairs_in_a_crowd_of_templates_equal_brute_force(spark, monkeypatch, block, crowd):
     monkeypatch.setattr(simhash._cells, "__defaults__", (block,))
     rng = random.Random(5)
     parts = [words(rng, 40) for _ in range(20)]  # boilerplate, of which each text has some
@@ -135,10 +135,36 @@ def test_pairs_in_a_crowd_of_templates_equal_brute_force(spark, monkeypatch, blo
                 root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
     assert 10 < len(texts) - len(set(root))
     df = spark.createDataFrame(list(enumerate(texts)), "node long, text string").repartition(8)
-    found = {r.node: r.root for r in components.components(simhash.similar_pairs(df)).collect()}
+    found = {r.node: r.root for r in components.components(simhash.similar_pairs(df, crowd=crowd)).collect()}
     assert [found.get(k, k) for k in range(len(texts))] == root
 
 
+def test_text_nodes_and_variants_without_close_pairs(spark):
+    """Texts that share a variant but are not alike: batches of cells without any pair, with text nodes."""
+    rng = random.Random(13)
+    shared = words(rng, 300)
+    texts = [shared + " " + words(rng, 190) for _ in range(60)] + [words(rng, 100) for _ in range(20)]
+    sketches = np.stack([simhash._minima(simhash.shingle_hashes(t, 5)) for t in texts]).astype("<u2")
+    keys = simhash._wild_keys(sketches, 0)
+    assert max(np.unique(keys, return_counts=True)[1]) > 2  # a crowded variant
+    df = spark.createDataFrame([(f"n{i}", t) for i, t in enumerate(texts)], "node string, text string").repartition(8)
+    assert simhash.similar_pairs(df).collect() == [] and simhash.similar_pairs(df, crowd=2).collect() == []
+    twice = df.union(df)  # repeated rows are one node
+    near = twice.union(spark.createDataFrame([("x", texts[0] + " end")], df.schema))
+    assert [tuple(r) for r in simhash.similar_pairs(near).collect()] == [("x", "n0")]
+
+
+def test_wild_keys_meet_where_one_digit_differs():
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 1 << 16, (1, simhash.HASHES)).astype("<u2")
+    for level, segments in enumerate(simhash.LEVELS):
+        b = a.copy()
+        b[0, segments[0][2]] ^= 1
+        near, far = set(simhash._wild_keys(a, level)[0]), set(simhash._wild_keys(b, level)[0])
+        hit = sum(segments[0][2] in s for s in segments)
+        assert len(near & far) == hit + segments.shape[1] * (len(segments) - hit)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(200, i) for i in range(201, 260)] + [(5, 5), (5, 6), (300, 301)]
     df = spark.createDataFrame(chain, "a long, b long")
