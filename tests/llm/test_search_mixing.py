@@ -32,6 +32,18 @@ def test_top_k_equals_brute_force(spark, n, k):
     assert got == brute(codes, queries, k)
 
 
+def test_top_k_with_crowded_buckets_and_clashing_columns(spark, monkeypatch):
+    """A third of the codes share most bits, many queries ask for one bucket, and blocks hold 16 rows."""
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    rng = random.Random(2)
+    codes = [(i, signed(rng.getrandbits(64) & 0xFFFF if i % 3 == 0 else rng.getrandbits(64))) for i in range(600)]
+    df = spark.createDataFrame(codes, "id long, code long").withColumns({c: F.lit("clash") for c in ["q", "n", "least", "s", "value", "distance", "rank", "bound", "block"]})
+    queries = [c for c in codes if c[0] % 4 == 0]
+    asked = df.where("id % 4 = 0").withColumnRenamed("id", "query_id")
+    got = sorted((r.query_id, r.id, r.distance, r.rank) for r in topk.top_k(df, asked, 7).collect())
+    assert got == brute(codes, queries, 7)
+
+
 def test_top_k_edges(spark):
     vectors = spark.createDataFrame([([1.0, -1.0, None],), (None,), ([],), ([-0.0, 2.0],)], "v array<double>")
     assert [r[0] for r in vectors.select(topk.sign_code(F.col("v"))).collect()] == [1, None, 0, 2]
