@@ -116,31 +116,36 @@ def license_sql() -> str:
     listed = ", ".join(
         f"({quoted(spdx)}, {quoted(' ' + ' '.join(order) + ' ')}, {quoted(longest if spdx == 'BSD-2-Clause' else '#')})" for spdx, order in licenses.rules()
     )
-    parts = []
-    for name, line_end in (("by_line", r"\n"), ("by_text", r"\n\s*\n")):
-        cut = r"regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '([.;:!?])\s+', '\1' || chr(1), 'g')"
-        parts.append(f"""
-{name} AS (
-  SELECT r, count(*) AS n, string_agg(w.name, ' ' ORDER BY pos) AS ids FROM (
-    SELECT r, u.pos AS pos, trim(regexp_replace(lower(l[u.pos]), '[^a-z0-9]+', ' ', 'g')) AS s
-    FROM (SELECT r, string_split(regexp_replace({cut}, '{line_end}', chr(1), 'g'), chr(1)) AS l FROM docs), unnest(range(1, len(l) + 1)) AS u(pos)
-  ) JOIN words w ON w.sentence = s GROUP BY r
-)""")
+    cut = r"regexp_replace(text, '\r\n?', chr(10), 'g')"
+    for pattern, new in licenses.JOINED:
+        cut = f"regexp_replace({cut}, '{pattern}', '{new.replace('$', chr(92))}', 'g')"
+    cut = rf"regexp_replace(regexp_replace({cut}, '([.;:!?])\s+', '\1' || chr(1), 'g'), '\n\s*\n', chr(1), 'g')"
+    norm = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
     return f"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
 words(sentence, name) AS (VALUES {words}),
 rules(spdx, line, unless) AS (VALUES {listed}),
-{",".join(parts)},
+sentences AS (
+  SELECT r, u.pos AS pos, l[u.pos] AS s FROM (SELECT r, string_split({cut}, chr(1)) AS l FROM docs), unnest(range(1, len(l) + 1)) AS u(pos)
+),
+whole AS (SELECT r, pos, s, w.name AS name FROM sentences LEFT JOIN words w ON w.sentence = {norm.format("s")}),
+lines AS (
+  SELECT r, pos, u.at AS at, l[u.at] AS s FROM (SELECT r, pos, string_split(s, chr(10)) AS l FROM whole WHERE name IS NULL AND contains(s, chr(10))),
+  unnest(range(1, len(l) + 1)) AS u(at)
+),
+hit AS (
+  SELECT r, pos, 0 AS at, name FROM whole WHERE name IS NOT NULL UNION ALL
+  SELECT r, pos, at, w.name FROM lines JOIN words w ON w.sentence = {norm.format("s")}
+),
 best AS (
-  SELECT r, doc_id, CASE WHEN coalesce(t.n, 0) > coalesce(l.n, 0) THEN t.n ELSE coalesce(l.n, 0) END AS n,
-         CASE WHEN coalesce(t.n, 0) > coalesce(l.n, 0) THEN t.ids ELSE coalesce(l.ids, '') END AS ids
-  FROM docs LEFT JOIN by_line l USING (r) LEFT JOIN by_text t USING (r)
+  SELECT r, any_value(doc_id) AS doc_id, coalesce(string_agg(name, ' ' ORDER BY pos, at), '') AS ids FROM docs LEFT JOIN hit USING (r) GROUP BY r
 ),
 hits AS (
   SELECT r, string_agg(DISTINCT spdx, ',' ORDER BY spdx) AS licenses FROM best JOIN rules
   ON contains(' ' || ids || ' ', line) AND NOT contains(' ' || ids || ' ', unless) WHERE ids <> '' GROUP BY r
 )
-SELECT doc_id, n AS n_sentences, ids AS sentence_ids, coalesce(licenses, '') AS licenses FROM best LEFT JOIN hits USING (r)
+SELECT doc_id, CASE WHEN ids = '' THEN 0 ELSE len(string_split(ids, ' ')) END AS n_sentences, ids AS sentence_ids, coalesce(licenses, '') AS licenses
+FROM best LEFT JOIN hits USING (r)
 """
 
 

@@ -52,8 +52,16 @@ SENTENCES = {
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-endorse",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl2-later",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl3-later",
+    "this program is free software": "free-head",
+    "this library is free software": "free-head",
+    "this file is free software": "free-head",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "gpl-grant",
+    "you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation": "gpl2-only-grant",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation": "lgpl-grant",
+    "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation": "agpl-grant",
+    "either version 2 of the license or at your option any later version": "v2-later",
+    "either version 2 1 of the license or at your option any later version": "v21-later",
+    "either version 3 of the license or at your option any later version": "v3-later",
     "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl2-form",
     "this is free and unencumbered software released into the public domain": "unlicense-head",
 }
@@ -66,29 +74,46 @@ RULES = [
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
     ("ISC", ["isc-grant"]),
-    ("GPL-2.0-or-later", ["gpl2-later"]),
-    ("GPL-3.0-or-later", ["gpl3-later"]),
+    ("GPL-2.0-or-later", ["free-head", "gpl-grant", "v2-later"]),
+    ("GPL-3.0-or-later", ["free-head", "gpl-grant", "v3-later"]),
+    ("GPL-2.0-only", ["free-head", "gpl2-only-grant"]),
+    ("LGPL-2.1-or-later", ["free-head", "lgpl-grant", "v21-later"]),
+    ("LGPL-3.0-or-later", ["free-head", "lgpl-grant", "v3-later"]),
+    ("AGPL-3.0-or-later", ["free-head", "agpl-grant", "v3-later"]),
     ("MPL-2.0", ["mpl2-form"]),
     ("Unlicense", ["unlicense-head"]),
 ]
 #: Each dictionary sentence contains one of these, so a text without them has no licence sentence.
-CUES = r"license|under|permission|copyright|redistribut|warranty|unencumbered"
+CUES = r"license|under|permission|copyright|redistribut|warranty|unencumbered|free software"
+#: Identifiers with these endings are licences of their own (fixed values).
+VERSIONED = ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")
+ENDINGS = ("-only", "-or-later")
+
+
+def _spdx() -> list[str]:
+    return [*NAMES, *[name + ending for name in VERSIONED for ending in ENDINGS]]
 
 
 def dictionary() -> dict[str, str]:
-    """Normalised sentence -> identifier: the fixed sentences, and every lead with every name, with and without "the"."""
+    """Normalised sentence -> identifier: the fixed sentences, every lead with every name, with and without "the", and SPDX lines."""
     out = dict(SENTENCES)
     for spdx, names in NAMES.items():
         for name in names:
             for lead in LEADS:
                 for the in ("", "the "):
                     out.setdefault(f"{lead} {the}{name}", f"named:{spdx}")
+    for spdx in _spdx():
         out.setdefault("spdx license identifier " + spdx.lower().replace("-", " ").replace(".", " "), f"named:{spdx}")
+    # sentences that go on with a version after a comma instead of a cut
+    for grant in ("gpl-grant", "lgpl-grant", "agpl-grant"):
+        for version in ("v2-later", "v21-later", "v3-later"):
+            first, then = (next(s for s, name in SENTENCES.items() if name == x) for x in (grant, version))
+            out.setdefault(f"{first} {then}", f"{grant} {version}")
     return out
 
 
 def rules() -> list[tuple[str, list[str]]]:
-    return [*RULES, *[(spdx, [f"named:{spdx}"]) for spdx in NAMES]]
+    return [*RULES, *[(spdx, [f"named:{spdx}"]) for spdx in _spdx()]]
 
 
 def normalised(sentence: Column) -> Column:
@@ -96,24 +121,29 @@ def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
 
 
-def _sentences(text: Column, at_lines: bool) -> Column:
-    """Cut after . ; : ? ! before white space, and at empty lines or (``at_lines``) at every line end."""
-    cut = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"([.;:!?])\s+", "$1\u0001")
-    return F.split(F.regexp_replace(cut, r"\n" if at_lines else r"\n\s*\n", "\u0001"), "\u0001", -1)
+#: What looks like the end of a sentence and is none: the colon of an SPDX line, the dot of "v. 2" (patterns; same in check SQL).
+JOINED = ((r"(?i)(spdx-license-identifier):[ \t]+", "$1 "), (r"\b([vV])\.\s+([0-9])", "$1 $2"))
+
+
+def _sentences(text: Column) -> Column:
+    """Cut after . ; : ? ! before white space, and at empty lines."""
+    cut = F.regexp_replace(text, r"\r\n?", "\n")
+    for pattern, new in JOINED:
+        cut = F.regexp_replace(cut, pattern, new)
+    return F.split(F.regexp_replace(F.regexp_replace(cut, r"([.;:!?])\s+", "$1\u0001"), r"\n\s*\n", "\u0001"), "\u0001", -1)
 
 
 def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_sentences, sentence_ids, licenses`` of every row: a projection, without a shuffle or a join.
 
     ``sentence_ids`` are the licence sentences in the order of the text, blank-separated, ``n_sentences`` their number, and
-    ``licenses`` the licences whose rules match, sorted and comma-separated. A sentence may be wrapped over lines or stand on
-    a line of its own after an unfinished one: both cuts are read, and the one with more licence sentences counts (lines on a
-    tie). A null, empty or unlicensed text has no sentences and empty strings; repeated rows come out once each.
+    ``licenses`` the licences whose rules match, sorted and comma-separated. A sentence may be wrapped over lines; where the whole is no
+    licence sentence, each of its lines is looked up, so that one without a full stop before other text is found too. A null, empty or
+    unlicensed text has no sentences and empty strings; repeated rows come out once each.
     """
-    sentences = dictionary()
     # one branch for each identifier over its own short list of sentences, read from left to right
     groups: dict[str, list[str]] = {}
-    for sentence, name in sentences.items():
+    for sentence, name in dictionary().items():
         groups.setdefault(name, []).append(sentence)
 
     def identifier(s: Column) -> Column:
@@ -122,19 +152,22 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
             chain = F.when(s.isin(own), name) if chain is None else chain.when(s.isin(own), name)
         return chain
 
-    def found(at_lines: bool) -> Column:
-        # only sentences with a cue are normalised and looked up
-        cued = F.filter(_sentences(F.col("text"), at_lines), lambda s: F.lower(s).rlike(CUES))
-        names = F.transform(F.transform(cued, normalised), identifier)
-        return F.filter(names, lambda n: n.isNotNull())
+    found = lambda sentences: F.transform(F.transform(sentences, normalised), identifier)
+    cued = lambda sentences: F.filter(sentences, lambda s: F.lower(s).rlike(CUES))
+
+    def with_lines(s: Column, name: Column) -> Column:
+        lines = F.when(F.contains(s, F.lit("\n")), F.array_compact(found(cued(F.split(s, "\n", -1))))).otherwise(F.array().cast("array<string>"))
+        return F.when(name.isNotNull(), F.array(name)).otherwise(lines)
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    hinted = F.lower("text").rlike(CUES)
     none = F.array().cast("array<string>")
-    rows = rows.withColumns({"by_line": F.when(hinted, found(True)).otherwise(none), "by_text": F.when(hinted, found(False)).otherwise(none)})
-    ids = F.when(F.size("by_text") > F.size("by_line"), F.col("by_text")).otherwise(F.col("by_line"))
-    rows = rows.select("doc_id", ids.alias("ids"))
-    line = F.concat(F.lit(" "), F.array_join("ids", " "), F.lit(" "))
+    # only sentences with a cue are normalised and looked up
+    rows = rows.withColumn("cued", F.when(F.lower("text").rlike(CUES), cued(_sentences(F.col("text")))).otherwise(none))
+    rows = rows.select("doc_id", "cued", found(F.col("cued")).alias("names"))
+    ids = F.flatten(F.zip_with("cued", "names", with_lines))
+    line = F.array_join(ids, " ")
+    rows = rows.select("doc_id", line.alias("sentence_ids"))
+    line = F.concat(F.lit(" "), "sentence_ids", F.lit(" "))
     hits = []
     for spdx, order in rules():
         test = F.contains(line, F.lit(" " + " ".join(order) + " "))
@@ -142,6 +175,5 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
             test = test & ~F.contains(line, F.lit(" bsd-grant bsd-source bsd-binary bsd-endorse "))
         hits.append(F.when(test, F.lit(spdx)))
     found_all = F.array_sort(F.array_distinct(F.array_compact(F.array(*hits))))
-    return rows.select(
-        "doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", " ").alias("sentence_ids"), F.array_join(found_all, ",").alias("licenses")
-    )
+    n = F.when(F.col("sentence_ids") == "", 0).otherwise(F.size(F.split("sentence_ids", " ")))
+    return rows.select("doc_id", n.cast("long").alias("n_sentences"), "sentence_ids", F.array_join(found_all, ",").alias("licenses"))

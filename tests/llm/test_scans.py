@@ -7,6 +7,25 @@ from ledgerlens.llm import htmltext, licenses, pii, quality
 from tests.llm.common import edge_docs, edge_rows, no_docs, words
 
 
+GPL = """ * This {0} is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU {2}General Public License as published by
+ * the Free Software Foundation{3} of the License, or
+ * (at your option) any later version.
+ *
+ * This {1} is distributed in the hope that it will be useful,"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+
+
 @pytest.mark.parametrize(
     "text,want",
     [
@@ -14,14 +33,19 @@ from tests.llm.common import edge_docs, edge_rows, no_docs, words
         ("prose without an end\nReleased under the MIT License.", "MIT"),
         ("This work is licensed\nunder the GNU General Public License,\nversion 3.", "GPL-3.0"),
         ("Licensed under CC BY-NC 4.0. Released under the MIT License.", "CC-BY-NC-4.0,MIT"),
-        ("SPDX-License-Identifier: BSD-3-Clause", ""),
+        ("// SPDX-License-Identifier: BSD-3-Clause\ncode", "BSD-3-Clause"), ("SPDX-License-Identifier: MIT", "MIT"), ("# SPDX-License-Identifier: Apache-2.0", "Apache-2.0"),
+        ("/* SPDX-License-Identifier:  GPL-2.0-or-later */", "GPL-2.0-or-later"), ("Licensed under the MIT License\nno full stop, more", "MIT"),
+        (GPL.format("program", "program", "", "; either version 2"), "GPL-2.0-or-later"), (GPL.format("program", "program", "", ", either version 3").replace(";", ":", 1), "GPL-3.0-or-later"),
+        (GPL.format("library", "library", "Lesser ", "; either version 2.1"), "LGPL-2.1-or-later"), (GPL.format("file", "file", "Affero ", ", either version 3").replace(";", ":", 1), "AGPL-3.0-or-later"),
+        ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed", "MPL-2.0"),
+        (APACHE, "Apache-2.0"), ("Licensed under the MIT License\nand other words\n\n" + APACHE, "Apache-2.0,MIT"),
         ("a license to kill. under the sea.", ""),
         (None, ""), ("", ""),
     ],
 )
 def test_licenses(spark, text, want):
     got = licenses.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
-    assert got.licenses == want or want == "" and got.licenses in ("", "BSD-3-Clause")
+    assert got.licenses == want
 
 
 def test_license_sequences(spark):
