@@ -10,6 +10,7 @@ from __future__ import annotations
 import random
 import re
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -72,6 +73,7 @@ def base_spans(text: str) -> list[Span]:
 # -- candidate segments and their features -------------------------------------------------------------------------------------
 UNIT = re.compile(r"""[^\s"'(),;:!?<>\[\]{}|=*#$&%]*[^\s"'(),;:!?<>\[\]{}|=*#$&%.]|\S""")
 HOT = re.compile(r"[0-9@]")
+PIECE = re.compile(r"\S+")
 SECRET_CUES = frozenset("token secret password passwd pwd key apikey api_key api-key access_key auth bearer credential credentials".split())
 PHONE_CUES = frozenset("tel phone call fax mobile cell telephone".split())
 NUMBER_CUES = frozenset("card visa account iban ssn passport id no number credit".split())
@@ -113,21 +115,22 @@ def features(text: str, units: list[tuple[int, int]], i: int, j: int, lower: lis
     )]
 
 
-def segments(text: str, units: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Candidates: up to ``MAX_UNITS`` units, each at most two characters from the next, that hold a digit or an @."""
-    hot = [HOT.search(text, *u) is not None for u in units]
+def segments(text: str, units: list[tuple[int, int]], first: int = 0, last: int | None = None) -> list[tuple[int, int]]:
+    """Candidates that end at units ``first`` to ``last``: up to ``MAX_UNITS`` units, each at most two characters from the next, of
+    which the last holds a digit or an @ and the first does too or opens with + or a bracket."""
+    last = len(units) if last is None else last
+    low = max(0, first - MAX_UNITS + 1)
+    hot = [HOT.search(text, *u) is not None for u in units[low:last]]
     out = []
-    for i, u in enumerate(units):
-        if not hot[i] and text[u[0]] not in "+(":
+    for j in range(first, last):
+        if not hot[j - low]:
             continue
-        any_hot = False
-        for j in range(i, min(len(units), i + MAX_UNITS)):
-            if j > i and units[j][0] - units[j - 1][1] > 2:
-                break
-            any_hot |= hot[j]
-            if any_hot and hot[j]:
+        for i in range(j, max(-1, j - MAX_UNITS), -1):
+            if hot[i - low] or text[units[i][0]] in "+(":
                 out.append((i, j))
-    return out
+            if i and units[i][0] - units[i - 1][1] > 2:
+                break
+    return sorted(out)
 
 
 # -- the field -----------------------------------------------------------------------------------------------------------------
@@ -137,57 +140,99 @@ class Field:
     def __init__(self, weights: np.ndarray, moves: np.ndarray):
         self.weights, self.moves = weights, moves
 
-    def decode(self, text: str, start: int, end: int) -> list[Span]:
-        """The best segmentation of ``text[start:end]``, as (kind, start, end)."""
-        units = [m.span() for m in UNIT.finditer(text, start, end)]
-        found = segments(text, units)
-        if not found:
-            return []
-        lower = [text[a:b].lower() for a, b in units]
-        scores = np.array([features(text, units, i, j, lower) for i, j in found]) @ self.weights
+    def decode(self, text: str, start: int, end: int, block: int = 1024) -> list[Span]:
+        """The best segmentation of ``text[start:end]``, as (kind, start, end).
+
+        Units are read in blocks. After a block, all segmentations that can still win are followed back to the place that they share;
+        what lies before it is final and forgotten, so memory doesn't grow with the text.
+        """
+        labels, out = len(KINDS) + 1, []
+        found = (m.span() for m in UNIT.finditer(text, start, end))
+        units: list[tuple[int, int]] = []
+        best, back = [np.full(labels, -np.inf)], [np.zeros((labels, 2), int)]  # of each place between units; ``back``: place and label
+        best[0][0] = 0.0
+        done, more = 0, True
+        while more or done < len(units):
+            units += islice(found, block + 1 + done - len(units) if more else 0)
+            more = len(units) > done + block
+            upto = min(len(units), done + block) if more else len(units)
+            self._forward(text, units, done, upto, best, back)
+            done = upto
+            if not more:
+                break
+            place, label = self._shared(best, back, done)
+            out += self._trace(units, back, place, label)
+            # context reaches four units back, and the next block's segments MAX_UNITS
+            drop = max(0, min(place, done - MAX_UNITS - 4))
+            if drop:
+                del units[:drop], best[:drop], back[:drop]
+                place, done = place - drop, done - drop
+                for row in back:
+                    row[:, 0] -= drop
+            back[place][label] = (-1, 0)  # final up to here
+        out += self._trace(units, back, done, int(best[done].argmax()))
+        return out
+
+    def _forward(self, text: str, units: list[tuple[int, int]], first: int, last: int, best: list, back: list) -> None:
+        """Best scores of the places after units ``first`` to ``last``."""
+        found = segments(text, units, first, last)
+        low = max(0, first - MAX_UNITS - 4)
+        lower = [""] * low + [text[a:b].lower() for a, b in units[low:]]
+        scores = np.array([features(text, units, i, j, lower) for i, j in found]).reshape(len(found), N_FEATURES) @ self.weights
         ending: dict[int, list[tuple[int, np.ndarray]]] = {}
         for (i, j), s in zip(found, scores):
             ending.setdefault(j, []).append((i, s))
         labels = len(KINDS) + 1
-        best = np.full((len(units) + 1, labels), -np.inf)
-        back = np.zeros((len(units) + 1, labels, 2), int)
-        best[0, 0] = 0
-        for t in range(1, len(units) + 1):
+        for t in range(first + 1, last + 1):
+            now, from_ = np.full(labels, -np.inf), np.zeros((labels, 2), int)
             come = best[t - 1] + self.moves[:, 0]
             k = int(come.argmax())
-            best[t, 0], back[t, 0] = come[k], (t - 1, k)
+            now[0], from_[0] = come[k], (t - 1, k)
             for i, s in ending.get(t - 1, ()):
                 come = best[i][:, None] + self.moves[:, 1:]
                 k = come.argmax(axis=0)
                 total = come[k, np.arange(labels - 1)] + s
-                better = total > best[t, 1:]
-                best[t, 1:][better] = total[better]
-                back[t, 1:, 0][better], back[t, 1:, 1][better] = i, k[better]
-        out, t, y = [], len(units), int(best[-1].argmax())
-        while t > 0:
-            before, label = back[t, y]
-            if y:
-                out.append((y - 1, units[before][0], units[t - 1][1]))
-            t, y = int(before), int(label)
+                better = total > now[1:]
+                now[1:][better] = total[better]
+                from_[1:, 0][better], from_[1:, 1][better] = i, k[better]
+            best.append(now)
+            back.append(from_)
+
+    def _shared(self, best: list, back: list, done: int) -> tuple[int, int]:
+        """The last place and label through which every segmentation goes that can still win."""
+        ahead = {(t, y) for t in range(max(0, done - MAX_UNITS + 1), done + 1) for y in range(len(KINDS) + 1) if np.isfinite(best[t][y])}
+        while len(ahead) > 1:
+            last = max(ahead)
+            ahead.remove(last)
+            before = tuple(back[last[0]][last[1]].tolist())
+            if before[0] < 0:
+                return last
+            ahead.add(before)
+        return ahead.pop()
+
+    def _trace(self, units: list[tuple[int, int]], back: list, place: int, label: int) -> list[Span]:
+        out = []
+        while place > 0:
+            before, earlier = back[place][label]
+            if before < 0:
+                break
+            if label:
+                out.append((label - 1, units[before][0], units[place - 1][1]))
+            place, label = int(before), int(earlier)
         return out[::-1]
 
     def spans(self, text: str) -> list[Span]:
-        """Decodes around digits and @ only: elsewhere no segment is possible, and units outside add nothing to the score."""
-        out, window = [], None
-        for m in HOT.finditer(text):
-            if window and m.start() - window[1] <= 120:
-                window[1] = m.end()
-            else:
-                if window:
-                    out += self._window(text, *window)
-                window = [m.start(), m.end()]
-        return out + (self._window(text, *window) if window else [])
-
-    def _window(self, text: str, start: int, end: int) -> list[Span]:
-        a, b = max(0, start - 60), min(len(text), end + 60)
-        blank = text.find(" ", a, start) if a else -1
-        a = blank if blank >= 0 else a
-        return self.decode(text, a, b)
+        """Decodes around digits and @ only, with all the units on each side that a segment or its context can reach: elsewhere no
+        segment is possible, and units outside add nothing to the score."""
+        pieces = np.array([m.span() for m in PIECE.finditer(text)], np.int64).reshape(-1, 2)  # of one unit at least
+        at = np.searchsorted(pieces[:, 0], [m.start() for m in HOT.finditer(text)], "right") - 1
+        at = np.unique(at)
+        reach = MAX_UNITS + 5
+        cut = np.flatnonzero(np.diff(at) > 2 * reach)
+        out = []
+        for a, b in zip(np.concatenate([at[:1], at[cut + 1]]).tolist(), np.concatenate([at[cut], at[-1:]]).tolist()):
+            out += self.decode(text, int(pieces[max(0, a - reach)][0]), int(pieces[min(len(pieces) - 1, b + reach)][1]))
+        return out
 
 
 def _syllables(rng: random.Random, n: int) -> str:

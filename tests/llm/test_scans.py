@@ -129,6 +129,40 @@ def test_decoding_is_the_best_segmentation():
         assert field.decode(text, 0, len(text)) == best(0, 0)[1]
 
 
+def test_decoding_in_blocks_and_windows_equals_one_pass():
+    field = pii._field(400, 5)
+    rng = random.Random(21)
+    lines = [t for t, _ in pii.examples(300, 77)]
+    for _ in range(60):
+        text = ""
+        for _ in range(rng.randint(1, 12)):
+            text += rng.choice([rng.choice(lines), words(rng, rng.randint(1, 60)), "1 2 3 4 5 6 7 8 9 10 11 12 ", "(((", "+" * 9, "a@b " * 5]) + rng.choice([" ", "\n", ""])
+        whole = field.decode(text, 0, len(text), 1 << 20)
+        assert all(field.decode(text, 0, len(text), block) == whole for block in (1, 7, 64)) and field.spans(text) == whole
+
+
+@pytest.mark.parametrize("size", [10, 50, 59, 60, 61, 200, 5000])
+def test_long_secrets_and_addresses_are_whole(size):
+    field = pii._field(400, 5)
+    secret = "aB" * (size // 2) + "9"
+    text = f'Some words first. api_key = "{secret}" and more.'
+    assert (5, text.index(secret), text.index(secret) + len(secret)) in field.spans(text)
+    mail = "a" * size + "@example.org"
+    text = words(random.Random(1), 30) + " " + mail + " end"
+    assert (0, text.index(mail), text.index(mail) + len(mail)) in pii.personal_spans(text, field)[1]
+
+
+def test_many_numbers_need_little_memory():
+    import tracemalloc
+
+    field = pii._field(400, 5)
+    text = " ".join(str(k % 977) for k in range(4_000))
+    tracemalloc.start()
+    field.spans(text)
+    assert tracemalloc.get_traced_memory()[1] < 15_000_000
+    tracemalloc.stop()
+
+
 def test_pii_edges(spark):
     got = pii.find_personal_data(edge_docs(spark)).collect()
     assert len(got) == len(edge_rows()) and all(r.base_spans == "" for r in got)
