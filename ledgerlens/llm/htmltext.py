@@ -30,32 +30,49 @@ CLOSES_P = BLOCKS - frozenset("html body caption thead tbody tfoot tr td th".spl
 JUNK = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notification newsletter "
     "subscribe subscription signup login sidebar aside rail menu nav navbar navigation breadcrumb breadcrumbs footer foot masthead topbar toolbar comment comments "
-    "commentlist disqus respond reply replies discussion related recommended recommendations recirc share sharing social follow popup modal overlay lightbox widget widgets pagination "
-    "pager tags taglist byline-share print skip search contentinfo complementary alert legal copyright disclaimer outbrain taboola".split()
+    "commentlist disqus respond reply replies recirc share sharing popup modal overlay lightbox widget widgets pagination "
+    "pager tags taglist contentinfo complementary outbrain taboola".split()
 )
+# words that articles, their sections and wrappers have too: these only count against a part that reads like none (fixed values)
+DOUBTFUL = frozenset("discussion related recommended recommendations social follow print skip search alert legal copyright disclaimer".split())
+# a class that says that a part of the page is there or is not, as in "no-sidebar" or "content-with-sidebar"
+ABOUT = re.compile(r"(?:^|[-_])(?:no|has|with|without|hide|show|is|not)[-_]", re.IGNORECASE)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+#: A paragraph scores for this many of its ancestors.
+REACH = 12
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "junk", "score", "length", "linked")
+    __slots__ = ("tag", "parent", "children", "junk", "score", "length", "linked", "commas", "points", "heads", "holds")
 
-    def __init__(self, tag: str, parent: Node | None, junk: bool = False):
+    def __init__(self, tag: str, parent: Node | None, junk: int = 0):
         self.tag, self.parent, self.junk = tag, parent, junk
         self.children: list[Node | str] = []
-        self.score, self.length, self.linked = 0.0, 0, 0
+        self.score, self.length, self.linked, self.commas, self.points = 0.0, 0, 0, 0, 0.0
+        self.heads, self.holds = 0, 0  # main headings, and article and main elements, inside
 
 
-def _junk(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+NAMED, UNSURE, NEVER = 1, 2, 3
+
+
+def _junk(tag: str, attrs: list[tuple[str, str | None]]) -> int:
+    """NEVER for elements that are no text of the page, NAMED or UNSURE by what class, id and role say, 0 for all others."""
     if tag in DROPPED:
-        return True
+        return NEVER
+    level = 0
     for name, value in attrs:
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return NEVER
         if name == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name in ("class", "id", "role") and value and any(w.lower() in JUNK for w in WORDS.findall(value)):
-            return tag not in ("html", "body", "article", "main")
-    return False
+            return NEVER
+        if name in ("class", "id", "role") and value and tag not in ("html", "body", "article", "main"):
+            for token in value.split():
+                words = {w.lower() for w in WORDS.findall(token)}
+                if words & JUNK and not ABOUT.search(token):
+                    level = NAMED
+                elif words & DOUBTFUL and level == 0:
+                    level = UNSURE
+    return level
 
 
 class Tree(HTMLParser):
@@ -64,12 +81,23 @@ class Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("#root", None)
+        self.open: dict[str, int] = {}
+
+    def _leave(self, parent: Node) -> None:
+        """Go up to ``parent``; ``open`` counts the elements that are still open, by tag."""
+        n = self.at
+        while n is not parent:
+            self.open[n.tag] -= 1
+            n = n.parent
+        self.at = parent
 
     def _close(self, tags: frozenset[str] | set[str], stop: frozenset[str] | set[str]) -> None:
+        if not any(self.open.get(t) for t in tags):
+            return
         n = self.at
         while n.parent is not None and n.tag not in stop:
             if n.tag in tags:
-                self.at = n.parent
+                self._leave(n.parent)
                 return
             n = n.parent
 
@@ -92,13 +120,16 @@ class Tree(HTMLParser):
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
+            self.open[tag] = self.open.get(tag, 0) + 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID and tag in ("svg", "path", "math"):
-            self.at = self.at.parent
+            self._leave(self.at.parent)
 
     def handle_endtag(self, tag: str) -> None:
+        if not self.open.get(tag):
+            return
         n = self.at
         while n.parent is not None and n.tag != tag:
             # an end tag of inline markup doesn't reach out of its block
@@ -106,7 +137,7 @@ class Tree(HTMLParser):
                 return
             n = n.parent
         if n.parent is not None:
-            self.at = n.parent
+            self._leave(n.parent)
 
     def handle_data(self, data: str) -> None:
         self.at.children.append(data)
@@ -121,52 +152,75 @@ def _walk(root: Node):
         stack.extend(c for c in reversed(n.children) if isinstance(c, Node))
 
 
-def _holds(root: Node, tags: frozenset[str] | set[str]) -> bool:
-    return any(n.tag in tags for n in _walk(root))
+def _drop(root: Node, gone) -> None:
+    for n in _walk(root):
+        n.children = [c for c in n.children if isinstance(c, str) or not gone(c)]
 
 
 def _prune(root: Node) -> None:
-    """Take out junk, but not a wrapper around the article itself; a header inside an article stays if it has a heading."""
-    for n in _walk(root):
-        kept = []
+    """Take out what is no article text, judged by the tree's scores.
+
+    Elements that never hold it go at once. A part that its class, id or role names as something else goes unless it holds an
+    article or main element, or most of the page's points: then it is a wrapper. If the page's main heading stands outside, no
+    more than a few points may be left beside it. A doubtful name only counts against a part with little text or many links. A header inside an article stays if it has a heading.
+    """
+    _drop(root, lambda c: c.junk == NEVER)
+    _measure(root)
+    inside: dict[int, bool] = {id(root): False}
+    for n in _walk(root):  # ancestors first
         for c in n.children:
             if isinstance(c, Node):
-                if c.junk and (c.tag in DROPPED or not _holds(c, {"article", "main"})):
-                    continue
-                if c.tag == "header" and not (_holds(c, HEADINGS) and _inside(c, {"article", "main"})):
-                    continue
-            kept.append(c)
-        n.children = kept
+                inside[id(c)] = inside[id(n)] or n.tag in ("article", "main")
+    _drop(root, lambda c: c.tag == "header" and not (c.heads and inside[id(c)]))
+    order = _measure(root)
+    _weigh(order)
+    total, heads = root.points, root.heads
 
+    def gone(c: Node) -> bool:
+        if not c.junk or c.holds:
+            return False
+        share = c.points / total if total else 0.0
+        wrapper = share >= 0.5 and (c.heads > 0 or not heads or total - c.points < 6)
+        if c.junk == NAMED:
+            return not wrapper
+        return not wrapper and (c.length < 60 or _density(c) >= 0.3 or not heads and not inside[id(c)])
 
-def _inside(n: Node, tags: set[str]) -> bool:
-    while n.parent is not None:
-        n = n.parent
-        if n.tag in tags:
-            return True
-    return False
+    _drop(root, gone)
 
 
 def _measure(root: Node) -> list[Node]:
-    """Text and linked text of every node; nodes from the leaves up."""
+    """Text, linked text, commas and main headings of every node, from the leaves up; nodes in page order."""
     order = list(_walk(root))
     for n in reversed(order):
-        own = sum(len(c.split()) and len(" ".join(c.split())) for c in n.children if isinstance(c, str))
+        own = [x for x in (" ".join(c.split()) for c in n.children if isinstance(c, str)) if x]
         inner = [c for c in n.children if isinstance(c, Node)]
-        n.length = own + sum(c.length for c in inner)
+        n.length = sum(map(len, own)) + sum(c.length for c in inner)
+        n.commas = sum(x.count(",") + x.count("、") + x.count("，") for x in own) + sum(c.commas for c in inner)
         n.linked = n.length if n.tag == "a" else sum(c.linked for c in inner)
+        n.heads = (n.tag == "h1") + sum(c.heads for c in inner)
+        n.holds = (n.tag in ("article", "main")) + sum(c.holds for c in inner)
     return order
 
 
-def _text(n: Node) -> str:
-    out, stack = [], [n]
-    while stack:
-        x = stack.pop()
-        if isinstance(x, str):
-            out.append(x)
-        else:
-            stack.extend(reversed(x.children))
-    return " ".join(" ".join(out).split())
+def _own_points(n: Node) -> float:
+    """What a paragraph, or a division with text of its own, is worth."""
+    if n.tag in PARAGRAPHS:
+        commas, length = n.commas, n.length
+    elif n.tag in ("div", "section", "article", "main", "body", "center"):
+        own = [x for x in (" ".join(c.split()) for c in n.children if isinstance(c, str)) if x]
+        if not own:
+            return 0.0
+        commas, length = sum(x.count(",") + x.count("、") + x.count("，") for x in own), sum(map(len, own))
+    else:
+        return 0.0
+    return (1 + commas + min(length / 100, 3)) * (1 - _density(n))
+
+
+def _weigh(order: list[Node]) -> None:
+    """The points of all paragraphs in a subtree; those of a paragraph inside a paragraph count once."""
+    for n in reversed(order):
+        inner = sum(c.points for c in n.children if isinstance(c, Node))
+        n.points = max(inner, _own_points(n)) if n.tag in PARAGRAPHS else inner + _own_points(n)
 
 
 def _density(n: Node) -> float:
@@ -175,13 +229,12 @@ def _density(n: Node) -> float:
 
 def _score(order: list[Node]) -> None:
     for n in order:
-        # a paragraph, or a division with text of its own
-        if n.tag in PARAGRAPHS or n.tag in ("div", "section", "article", "main", "body", "center") and any(isinstance(c, str) and c.strip() for c in n.children):
-            text = _text(n) if n.tag in PARAGRAPHS else " ".join(" ".join(c for c in n.children if isinstance(c, str)).split())
-            points = 1 + text.count(",") + text.count("、") + text.count("，") + min(len(text) / 100, 3)
-            points *= 1 - _density(n)
+        points = _own_points(n)
+        if points:
             up, level = (n.parent if n.tag in PARAGRAPHS else n), 1.0
-            while up is not None and up.tag != "#root":
+            for _ in range(REACH):
+                if up is None or up.tag == "#root":
+                    break
                 up.score += points / level
                 up, level = up.parent, level * 2 if level < 2 else level + 2
 

@@ -187,6 +187,51 @@ def test_main_text():
     assert htmltext.main_text("<div>" * 20_000 + "deep") == "deep"
 
 
+WRAPPERS = ["layout no-sidebar", "content-with-sidebar", "entry social", "legal-article", "print-view", "discussion-post", "post", "page has-comments"]
+JUNK_PARTS = [
+    "<div class='sidebar'><p>Side, a, b, c, with, commas, all, over.</p></div>", "<div id='comments'>{}</div>", "<ul class='related'><li><a href=a>One thing</a><li><a href=b>Other thing</a></ul>",
+    "<div class='cookie-notice'><p>We use cookies, yes.</p></div>", "<div class='ad-slot'>Buy, now!</div>", "<nav><a href=/>Home</a></nav>", "<div role='alert'><p>Notice</p></div>",
+    "<form><p>Mail us</p></form>", "<section class='share-buttons'><a href=x>Share</a></section>", "<div hidden><p>Hidden, text, here.</p></div>",
+]
+
+
+def test_planted_pages():
+    """Articles in wrappers of many names, with junk before, after and between; all text of the article and nothing else comes out."""
+    rng = random.Random(31)
+    for _ in range(300):
+        want, body = ["Title & more"], "<h1>Title &amp; more</h1>"
+        for k in range(rng.randint(6, 14)):
+            text = words(rng, rng.randint(12, 40)).capitalize() + ", and more."
+            want.append(text)
+            body += rng.choice(["<p>{}</p>", "<p>{}", "<div><p>{}</p></div>", "<blockquote><p>{}</p></blockquote>", "<section id='discussion'><p>{}</p></section>", "<div class='related-work'><p>{}</p></div>"]).format(text)
+            if rng.random() < 0.2:
+                body += rng.choice(JUNK_PARTS).format("".join(f"<p>{words(rng, 9)}, nice.</p>" for _ in range(rng.randint(1, 4))))
+        # sections with doubtful names count as prose from a share of the page on
+        page = f"<div class='{rng.choice(WRAPPERS)}'>{body}</div>"
+        if rng.random() < 0.5:
+            page = f"<div id='main-wrapper'>{page}</div>"
+        sides = [rng.choice(JUNK_PARTS).format("<p>One, two, three comments.</p>") for _ in range(2)]
+        html = f"<html><head><title>T</title></head><body>{sides[0]}{page}{sides[1]}<footer>f</footer></body></html>"
+        assert htmltext.main_text(html).split("\n") == want, html
+
+
+def test_many_comments_do_not_win():
+    body = "<h1>T</h1>" + "".join(f"<p>Paragraph {k}, with words, in it.</p>" for k in range(4))
+    html = f"<body><div class='post'>{body}</div><div class='comments'>" + "<p>I think, honestly, that, well, this, is, long.</p>" * 40 + "</div></body>"
+    assert htmltext.main_text(html).count("\n") == 4 and "honestly" not in htmltext.main_text(html)
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    took = []
+    for n in (2000, 16_000):
+        start = time.process_time()
+        assert htmltext.main_text("<blockquote>some text, here " * n).count("\n") == n - 1
+        took.append(time.process_time() - start)
+    assert took[1] < 24 * max(took[0], 0.05)
+
+
 def test_pages_edges(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (None, None, None), (2, "u", ""), (3, "u", "<p>" + "long, " * 50_000)]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, text string")
