@@ -161,8 +161,8 @@ def _prune(root: Node) -> None:
     """Take out what is no article text, judged by the tree's scores.
 
     Elements that never hold it go at once. A part that its class, id or role names as something else goes unless it holds an
-    article or main element, or most of the page's points: then it is a wrapper. If the page's main heading stands outside, no
-    more than a few points may be left beside it. A doubtful name only counts against a part with little text or many links. A header inside an article stays if it has a heading.
+    article or main element, or most of the page's points: then it is a wrapper. Without the page's main heading it must have
+    several paragraphs, and no more than a few points may be left beside it. A doubtful name only counts against a part with little text or many links. A header inside an article stays if it has a heading.
     """
     _drop(root, lambda c: c.junk == NEVER)
     _measure(root)
@@ -180,7 +180,7 @@ def _prune(root: Node) -> None:
         if not c.junk or c.holds:
             return False
         share = c.points / total if total else 0.0
-        wrapper = share >= 0.5 and (c.heads > 0 or not heads or total - c.points < 6)
+        wrapper = share >= 0.5 and (c.heads > 0 or c.points >= 12 and (not heads or total - c.points < 6))
         if c.junk == NAMED:
             return not wrapper
         return not wrapper and (c.length < 60 or _density(c) >= 0.3 or not heads and not inside[id(c)])
