@@ -12,7 +12,7 @@ cte("s_texts", "SELECT clean_description text, min(project_id) text_id, count(*)
 STOP = "[" + ",".join(f"'{w}'" for w in STOP_WORDS) + "]"
 
 
-def vectors(prefix, grams, min_chars, usable, limit, sublinear):
+def vectors(prefix, grams, min_chars, usable, sublinear):
     """Check SQL for the long TF-IDF table ``<prefix>_w``."""
     w = f"list_filter(string_split(text,' '), lambda x: length(x)>={min_chars} AND NOT list_contains({STOP},x))"
     parts = ["w"] + [
@@ -23,8 +23,8 @@ def vectors(prefix, grams, min_chars, usable, limit, sublinear):
     cte(f"{prefix}_tf", f"SELECT text_id, copies, term, count(*) tf FROM (SELECT text_id, copies, unnest({listed}) term FROM (SELECT text_id, copies, {w} w FROM s_texts)) GROUP BY ALL")
     cte(
         f"{prefix}_vocab",
-        f"""SELECT term, df, ln((1+n)/(1e0+df))+1 idf FROM (SELECT term, sum(copies) df, sum(tf*copies) total, (SELECT sum(copies) FROM s_texts) n FROM {prefix}_tf GROUP BY 1)
-        WHERE {usable} ORDER BY total DESC, term LIMIT {limit}""",
+        f"""SELECT term, df, ln((1+n)/(1e0+df))+1 idf FROM (SELECT term, sum(copies) df, (SELECT sum(copies) FROM s_texts) n FROM {prefix}_tf GROUP BY 1)
+        WHERE {usable}""",
     )
     tf = "(1+ln(tf))" if sublinear else "tf"
     cte(
@@ -33,8 +33,8 @@ def vectors(prefix, grams, min_chars, usable, limit, sublinear):
     )
 
 
-vectors("s3", 3, 1, "df>=2 AND df<=0.8*n", 50000, True)
-vectors("s2", 2, 2, "true", 2000, False)
+vectors("s3", 3, 1, "df>=2 AND df<=0.8*n", True)
+vectors("s2", 2, 2, "true", False)
 cte(
     "s_pairs",
     """SELECT a.text_id text_id_a, b.text_id text_id_b, sum(a.weight*b.weight) similarity FROM s3_w a JOIN s3_w b ON a.term=b.term AND a.text_id<b.text_id
@@ -54,13 +54,13 @@ def model_of(t):
 
 def pairs_of(t):
     docs, texts, model = model_of(t)
-    return docs, texts, similarity.cosine_pairs(model.weights)
+    return docs, texts, similarity.cosine_pairs(model.vectors)
 
 
 @query("T01_tfidf_bigrams", f"SELECT text_id, term, {R('weight', 6)} weight FROM s2_w")
 def t01(t):
     texts = similarity.distinct_texts(docs_of(t))
-    model = similarity.fit_tfidf(texts, STOP_WORDS, 2, 1, 1.0, 2000, sublinear=False, min_chars=2)
+    model = similarity.fit_tfidf(texts, STOP_WORDS, 2, 1, 1.0, sublinear=False, min_chars=2)
     return model.weights.select("text_id", "term", rounded(F.col("weight"), 6).alias("weight"))
 
 
@@ -80,9 +80,8 @@ def t02(t):
 )
 def t03(t):
     _, _, model = model_of(t)
-    return model.weights.groupBy("text_id").agg(
-        F.count("*").alias("terms"), rounded(F.sum("weight"), 4).alias("total"), rounded(F.max("weight"), 6).alias("top")
-    )
+    total = F.aggregate("weights", F.lit(0.0), lambda acc, w: acc + w)
+    return model.vectors.select("text_id", F.size("ids").cast("long").alias("terms"), rounded(total, 4).alias("total"), rounded(F.array_max("weights"), 6).alias("top"))
 
 
 SHORT = " OR ".join(f"{{0}}='{g}' OR starts_with({{0}},'{g} ')" for g in similarity.GENERIC_TEMPLATES)
@@ -171,7 +170,7 @@ cte(
 def t08(t):
     _, _, model = model_of(t)
     queries = t.read("benchmark").select(F.col("item_id").cast("string").alias("text_id"), similarity.normalize_description(F.col("text")).alias("text"))
-    hits = similarity.search(queries, model).withColumn("similarity", rounded(F.col("similarity"), 4))
+    hits = similarity.search(queries, model, 0.1999).withColumn("similarity", rounded(F.col("similarity"), 4))
     return hits.filter("similarity >= 0.2")
 
 
@@ -189,9 +188,9 @@ PROBE = "(SELECT min(text_id) FROM s_texts WHERE copies=(SELECT max(copies) FROM
     UNION ALL SELECT text_id_a, similarity FROM s_pairs WHERE text_id_b={PROBE} UNION ALL SELECT {PROBE}, 1e0) JOIN s_texts ON text_id=id JOIN s_docs d ON d.clean_description=text WHERE d.project_id<>{PROBE}""",
 )
 def t10(t):
-    docs, texts, pairs = pairs_of(t)
+    docs, texts, model = model_of(t)
     probe = texts.orderBy(F.desc("copies"), "text_id").first()["text_id"]
-    return similarity.related_projects(probe, docs, texts, pairs)
+    return similarity.related_projects(probe, docs, texts, model)
 
 
 RATIO = "CASE WHEN least(cost_a,cost_b)>0 THEN " + R("greatest(cost_a,cost_b)/least(cost_a,cost_b)", 4) + " ELSE 0e0 END"

@@ -1,4 +1,4 @@
-"""TF-IDF vectors as long tables, exact cosine pairs, duplicate scores and cost annotation.
+"""TF-IDF vectors as arrays, exact cosine pairs and search, duplicate scores and cost annotation.
 
 Equal texts are collapsed first and carry their number of copies.  Pairs are pairs of distinct texts;
 what happens inside a group of copies (similarity 1) follows from its size, so it is never spelled out.
@@ -12,13 +12,13 @@ from functools import reduce
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ledgerlens.functions.numbers import ladder, rounded
 from ledgerlens.functions.text import key_part, normalize_description
-from ledgerlens.operators.blocking import blocked_lookup, blocked_pairs
+from ledgerlens.operators import sparse
 from ledgerlens.operators.quantiles import group_quantiles, join_null_safe
-from ledgerlens.session import checkpoint
+from ledgerlens.operators.ranking import sequence_rank
+from ledgerlens.session import materialize
 
 # Template texts, stop words and thresholds of the duplicate search.
 GENERIC_TEMPLATES = [
@@ -28,11 +28,12 @@ GENERIC_TEMPLATES = [
     "ms pole with led semi high mast light", "as per attechment", "cc road", "drain nirman", "borewell", "bore well",
     "interlocking tiles", "hand pump",
 ]
-STOP_WORDS = (
-    "the a an and or but of to in for with at by from on is are was were be been being have has had do does did will "
-    "would shall should may might can could this that these those it its work works project scheme proposed proposal "
-    "recommended recommendation under near via as per ka ki ke se ko mein hai hain aur nirman karya yojana gram nagar"
-).split()
+STOP_WORDS = [
+    "the", "a", "an", "and", "or", "but", "of", "to", "in", "for", "with", "at", "by", "from", "on", "is", "are", "was", "were", "be", "been", "being",
+    "have", "has", "had", "do", "does", "did", "will", "would", "shall", "should", "may", "might", "can", "could", "this", "that", "these", "those", "it",
+    "its", "work", "works", "project", "scheme", "proposed", "proposal", "recommended", "recommendation", "under", "near", "via", "as", "per", "ka", "ki",
+    "ke", "se", "ko", "mein", "hai", "hain", "aur", "nirman", "karya", "yojana", "gram", "nagar",
+]
 MIN_LENGTH = 40
 HIGH, CRITICAL = 0.85, 0.97
 
@@ -100,154 +101,102 @@ def term_counts(texts: DataFrame, stop_words: list[str], max_n: int, min_chars:
 
 @dataclass
 class TfIdf:
-    """Fitted vocabulary and the L2-normalised weights (text_id, copies, term, df, weight)."""
+    """Fitted vocabulary (term, id, df, idf; ids rise with df) and one vector per text (text_id, copies, doc, ids, weights)."""
 
     vocabulary: DataFrame
-    weights: DataFrame
+    vectors: DataFrame
     documents: int
     options: dict
 
+    @property
+    def weights(self) -> DataFrame:
+        """The vectors as a long table: text_id, copies, term, df, weight."""
+        rows = self.vectors.select("text_id", "copies", F.explode(F.arrays_zip("ids", "weights")).alias("e"))
+        rows = rows.select("text_id", "copies", F.col("e.ids").alias("id"), F.col("e.weights").alias("weight"))
+        return rows.join(self.vocabulary.select("id", "term", "df"), "id").select("text_id", "copies", "term", "df", "weight")
+
 
 def fit_tfidf(
     texts: DataFrame, stop_words: list[str] | None = None, max_n: int = 3, min_df: int = 2, max_df: float = 0.8,
-    max_features: int = 50_000, sublinear: bool = True, min_chars: int = 1,
+    max_features: int | None = None, sublinear: bool = True, min_chars: int = 1,
 ) -> TfIdf:
-    """Smoothed idf over all documents (copies count), the most frequent ``max_features`` terms, L2 rows.
+    """Smoothed idf over all documents (copies count), L2 rows, all usable terms.
 
-    The vectors are written to the shared folder: every later step reads them several times.
+    ``max_features`` keeps only the terms with the most occurrences, for results that are to agree with such a vocabulary. Terms get
+    numbers in order of rarity; the vocabulary is joined, whatever its size. Vectors are written to the shared folder once.
     """
     if stop_words is None:
         stop_words = StopWordsRemover.loadDefaultStopWords("english")
     documents = texts.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
-    counts = term_counts(texts, stop_words, max_n, min_chars)
+    counts = materialize(term_counts(texts, stop_words, max_n, min_chars), "terms")
     stats = counts.groupBy("term").agg(F.sum("copies").alias("df"), F.sum(F.col("tf") * F.col("copies")).alias("__total"))
     usable = stats.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * documents))
-    vocabulary = (
-        usable.orderBy(F.desc("__total"), "term")
-        .limit(max_features)
-        .select("term", "df", (F.log((1.0 + documents) / (1 + F.col("df"))) + 1).alias("idf"))
-    )
+    if max_features is not None:
+        usable = usable.orderBy(F.desc("__total"), "term").limit(max_features)
+    idf = (F.log((1.0 + documents) / (1 + F.col("df"))) + 1).alias("idf")
+    vocabulary = materialize(sequence_rank(usable.select("term", "df", idf), [F.asc("df"), F.asc("term")], "id"), "vocabulary")
     options = {"stop_words": stop_words, "max_n": max_n, "sublinear": sublinear, "min_chars": min_chars}
-    return TfIdf(vocabulary, checkpoint(_weigh(counts, vocabulary, sublinear)), documents, options)
+    return TfIdf(vocabulary, _vectors(counts, vocabulary, sublinear), documents, options)
 
 
-def _weigh(counts: DataFrame, vocabulary: DataFrame, sublinear: bool) -> DataFrame:
+def _vectors(counts: DataFrame, vocabulary: DataFrame, sublinear: bool) -> DataFrame:
+    """One row per text with a usable term."""
     tf = 1 + F.log("tf") if sublinear else F.col("tf").cast("double")
-    # the vocabulary is limited to max_features rows
-    raw = counts.join(F.broadcast(vocabulary), "term").withColumn("__raw", tf * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("__raw") * F.col("__raw")).over(Window.partitionBy("text_id")))
-    return raw.select("text_id", "copies", "term", "df", (F.col("__raw") / norm).alias("weight"))
+    raw = counts.join(vocabulary.select("term", "id", "idf"), "term").select("text_id", "copies", "id", (tf * F.col("idf")).alias("raw"))
+    listed = raw.groupBy("text_id", "copies").agg(F.array_sort(F.collect_list(F.struct("id", "raw"))).alias("__v"))
+    norm = F.sqrt(F.aggregate("__v", F.lit(0.0), lambda acc, e: acc + e["raw"] * e["raw"]))
+    out = listed.withColumn("__norm", norm).select("text_id", "copies", F.col("__v.id").alias("ids"), F.transform("__v", lambda e: e["raw"] / F.col("__norm")).alias("weights"))
+    return materialize(out.withColumn("doc", F.monotonically_increasing_id()), "vectors")
 
 
 def query_vectors(queries: DataFrame, model: TfIdf) -> DataFrame:
     """Vectors of new texts (text_id, text) in the fitted vocabulary."""
     o = model.options
     counts = term_counts(queries.withColumn("copies", F.lit(1)), o["stop_words"], o["max_n"], o["min_chars"])
-    return _weigh(counts, model.vocabulary, o["sublinear"])
+    return _vectors(counts, model.vocabulary, o["sublinear"])
 
 
-def search(queries: DataFrame, model: TfIdf) -> DataFrame:
-    """Cosine of each query text to every indexed text with which it shares a term."""
-    q = query_vectors(queries, model).select(F.col("text_id").alias("query_id"), "term", F.col("weight").alias("__q"))
-    hits = blocked_lookup(q, model.weights.select("text_id", "term", "weight"), ["term"], F.col("text_id"))
-    return hits.groupBy("query_id", "text_id").agg(F.sum(F.col("__q") * F.col("weight")).alias("similarity"))
-
-
-# --- pairs ----------------------------------------------------------------------------------------
+def search(queries: DataFrame, model: TfIdf, threshold: float, index: sparse.BlockIndex | None = None) -> DataFrame:
+    """query_id, text_id, similarity: indexed texts whose cosine to a query text (text_id, text) is at least ``threshold``.
 
-
-def prefix_terms(weights: DataFrame, threshold: float) -> DataFrame:
-    """Terms that must be indexed: rarest first, until the rest of the vector is shorter than ``threshold``.
-
-    Two vectors whose dot product reaches the threshold share at least one of these terms.
-    ``rest`` is the length of the part that is left out.
+    ``threshold`` is above 0. ``index`` (``sparse.block_index(model.vectors)``) can be built once for several searches.
     """
-    rare_first = Window.partitionBy("text_id").orderBy("df", "term")
-    from_here = rare_first.rowsBetween(0, Window.unboundedFollowing)
-    rest = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(from_here))
-    kept = weights.withColumn("__rest", rest)
-    # a hair below the threshold, so rounding never drops a term
-    inside = F.col("__rest") >= threshold - 1e-9
-    out = F.coalesce(F.max(F.when(~inside, F.col("__rest"))).over(Window.partitionBy("text_id")), F.lit(0.0))
-    return kept.withColumn("rest", out).filter(inside).select("text_id", "term", "weight", "rest")
-
-
-def cosine_pairs(weights: DataFrame, threshold: float = HIGH) -> DataFrame:
-    """All pairs of distinct texts with cosine >= ``threshold``: text_id_a < text_id_b, similarity."""
-    index = checkpoint(prefix_terms(weights, threshold))
-    met = blocked_pairs(index, ["term"], "text_id", ["weight", "rest"])
-    bound = F.sum(F.col("weight_a") * F.col("weight_b")) + F.max(F.greatest("rest_a", "rest_b"))
-    candidates = (
-        met.groupBy("text_id_a", "text_id_b").agg(bound.alias("__bound")).filter(F.col("__bound") >= threshold - 1e-9)
-    ).select("text_id_a", "text_id_b")
-    likely = screened(candidates, weights, threshold)
-    return checkpoint(verified(likely, weights).filter(F.col("similarity") >= threshold))
+    asked = query_vectors(queries, model)
+    hits = sparse.search(asked.withColumn("least", F.lit(float(threshold))), index or sparse.block_index(model.vectors))
+    named = hits.join(asked.select(F.col("doc").alias("a"), F.col("text_id").alias("query_id")), "a")
+    return named.join(model.vectors.select(F.col("doc").alias("b"), "text_id"), "b").select("query_id", "text_id", "similarity")
 
 
-def screened(candidates: DataFrame, weights: DataFrame, threshold: float) -> DataFrame:
-    """Candidates that can still reach the threshold, judged by the first text's heaviest terms only.
-
-    The light terms of a text have length ``tail`` at most, so they add no more than that to any cosine;
-    a pair whose heavy terms give less than ``threshold - tail`` cannot qualify.
-    """
-    tail = 0.7 * threshold
-    before = Window.partitionBy("text_id").orderBy(F.desc("weight"), "term").rowsBetween(Window.unboundedPreceding, -1)
-    mass = F.coalesce(F.sum(F.col("weight") * F.col("weight")).over(before), F.lit(0.0))
-    heavy = weights.withColumn("__mass", mass).filter(F.col("__mass") < 1 - tail * tail).drop("__mass")
-    return verified(candidates, weights, heavy).filter(F.col("similarity") >= threshold - tail - 1e-9).drop("similarity")
+# --- pairs ----------------------------------------------------------------------------------------
 
 
-def verified(candidates: DataFrame, weights: DataFrame, first: DataFrame | None = None) -> DataFrame:
-    """Exact cosine of candidate pairs, or only over the terms of ``first`` for the first text."""
-    a = (weights if first is None else first).select(F.col("text_id").alias("text_id_a"), "term", F.col("weight").alias("__a"))
-    b = weights.select(F.col("text_id").alias("text_id_b"), "term", F.col("weight").alias("__b"))
-    return (
-        candidates.join(a, "text_id_a")
-        .join(b, ["text_id_b", "term"])
-        .groupBy("text_id_a", "text_id_b")
-        .agg(F.sum(F.col("__a") * F.col("__b")).alias("similarity"))
-    )
+def cosine_pairs(vectors: DataFrame, threshold: float = HIGH) -> DataFrame:
+    """All pairs of distinct texts with cosine >= ``threshold``: text_id_a < text_id_b, similarity."""
+    pairs = sparse.cosine_join(vectors, threshold)
+    for side in ("a", "b"):
+        pairs = pairs.join(vectors.select(F.col("doc").alias(side), F.col("text_id").alias(f"__{side}")), side)
+    ends = F.least("__a", "__b").alias("text_id_a"), F.greatest("__a", "__b").alias("text_id_b")
+    return materialize(pairs.select(*ends, "similarity"), "pairs")
 
 
-def nearest_similarity(texts: DataFrame, weights: DataFrame, thresholds: tuple[float, ...] = (0.75,)) -> DataFrame:
+def nearest_similarity(texts: DataFrame, vectors: DataFrame) -> DataFrame:
     """Largest cosine of each text to any other document: text_id, similarity.
 
-    Copies are at 1.  The others are searched at falling thresholds, each round only for texts that have
-    not found a partner; what is left is compared over all shared terms.  Texts without terms get 0.
+    Copies are at 1; texts without terms, or that share none, get 0. The others are searched in a block index.
     """
-    copied = texts.filter("copies > 1").select("text_id", F.lit(1.0).alias("similarity"))
-    vectors = weights
-    open_ids = checkpoint(texts.filter("copies = 1").select("text_id"))
-    found = []
-    for t in thresholds:
-        index = checkpoint(prefix_terms(vectors, t))
-        mine = index.join(open_ids, "text_id", "left_semi").select(F.col("text_id").alias("text_id_a"), "term")
-        theirs = index.select(F.col("text_id").alias("text_id_b"), "term")
-        met = blocked_lookup(mine, theirs, ["term"], F.col("text_id_b")).filter("text_id_a <> text_id_b")
-        likely = screened(met.select("text_id_a", "text_id_b").distinct(), vectors, t)
-        pairs = verified(likely, vectors).filter(F.col("similarity") >= t)
-        best = checkpoint(pairs.groupBy(F.col("text_id_a").alias("text_id")).agg(F.max("similarity").alias("similarity")))
-        found.append(best)
-        open_ids = checkpoint(open_ids.join(best, "text_id", "left_anti"))
-    mine = vectors.join(open_ids, "text_id", "left_semi").select(F.col("text_id").alias("text_id_a"), "term", F.col("weight").alias("__a"))
-    theirs = vectors.select(F.col("text_id").alias("text_id_b"), "term", "weight")
-    dots = (
-        blocked_lookup(mine, theirs, ["term"], F.col("text_id_b"))
-        .filter("text_id_a <> text_id_b")
-        .groupBy("text_id_a", "text_id_b")
-        .agg(F.sum(F.col("__a") * F.col("weight")).alias("similarity"))
-    )
-    last = dots.groupBy(F.col("text_id_a").alias("text_id")).agg(F.max("similarity").alias("similarity"))
-    rest = open_ids.join(last, "text_id", "left").select("text_id", F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
-    return reduce(DataFrame.unionByName, [copied, *found, rest])
+    alone = vectors.filter("copies = 1")
+    index = sparse.block_index(vectors, shared_only=True)
+    found = sparse.nearest(alone, index).join(alone.select("doc", "text_id"), "doc").select("text_id", "similarity")
+    best = texts.select("text_id", "copies").join(found, "text_id", "left")
+    return best.select("text_id", F.when(F.col("copies") > 1, 1.0).otherwise(F.coalesce("similarity", F.lit(0.0))).alias("similarity"))
 
 
-def description_similarity(works: DataFrame, stop_words: list[str] | None = None, max_features: int = 2000) -> DataFrame:
+def description_similarity(works: DataFrame, stop_words: list[str] | None = None, max_features: int | None = None) -> DataFrame:
     """Per work with a description: cosine to its nearest peer over (1,2)-gram TF-IDF."""
     docs = with_clean_descriptions(works)
     texts = distinct_texts(docs)
     model = fit_tfidf(texts, stop_words, 2, 1, 1.0, max_features, sublinear=False, min_chars=2)
-    best = nearest_similarity(texts, model.weights).join(texts, "text_id").select("text", "similarity")
+    best = nearest_similarity(texts, model.vectors).join(texts, "text_id").select("text", "similarity")
     return (
         docs.join(best, F.col("clean_description") == F.col("text"))
         .drop("text")
@@ -321,15 +270,17 @@ def duplicate_scores(docs: DataFrame, texts: DataFrame, pairs: DataFrame) -> Dat
     )
 
 
-def related_projects(project_id: str, docs: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Every project that one project pairs with: its copies at 1, then the members of matching texts."""
+def related_projects(project_id: str, docs: DataFrame, texts: DataFrame, model: TfIdf, threshold: float = HIGH, index: sparse.BlockIndex | None = None) -> DataFrame:
+    """Every project whose text is ``threshold`` alike one project's: its copies at 1, then the members of matching texts.
+
+    Only this text is searched, in the block index.
+    """
     mine = docs.filter(F.col("project_id") == project_id).select("clean_description")
-    me = texts.join(mine, F.col("text") == F.col("clean_description"), "left_semi").select("text_id", "text")
-    hit = lambda x, y: pairs.join(
-        me.select(F.col("text_id").alias(f"text_id_{x}")), f"text_id_{x}", "left_semi"
-    ).select(F.col(f"text_id_{y}").alias("text_id"), "similarity")
+    me = texts.join(mine, F.col("text") == F.col("clean_description"), "left_semi").select("text_id")
+    asked = model.vectors.join(me, "text_id", "left_semi").withColumn("least", F.lit(float(threshold)))
+    hits = sparse.search(asked, index or sparse.block_index(model.vectors)).filter("a <> b").select(F.col("b").alias("doc"), "similarity")
     own = me.select("text_id", F.lit(1.0).alias("similarity"))
-    matched = hit("a", "b").unionByName(hit("b", "a")).unionByName(own).join(texts.select("text_id", "text"), "text_id")
+    matched = model.vectors.select("doc", "text_id").join(hits, "doc").select("text_id", "similarity").unionByName(own).join(texts.select("text_id", "text"), "text_id")
     return (
         docs.join(matched, F.col("clean_description") == F.col("text"))
         .filter(F.col("project_id") != project_id)

@@ -42,21 +42,21 @@ def test_pairs_match_brute_force(spark, docs):
             dot = sum(w * vectors[b].get(term, 0.0) for term, w in vectors[a].items())
             if dot >= t:
                 want[(a, b)] = round(dot, 9)
-        got = {(r["text_id_a"], r["text_id_b"]): round(r["similarity"], 9) for r in similarity.cosine_pairs(model.weights, t).collect()}
+        got = {(r["text_id_a"], r["text_id_b"]): round(r["similarity"], 9) for r in similarity.cosine_pairs(model.vectors, t).collect()}
         assert got == want
 
 
 def test_scores_and_pairs(spark, docs):
     texts = similarity.distinct_texts(docs)
     model = similarity.fit_tfidf(texts, similarity.STOP_WORDS)
-    pairs = similarity.cosine_pairs(model.weights, 0.5)
+    pairs = similarity.cosine_pairs(model.vectors, 0.5)
     shown = similarity.text_pairs(docs, pairs, texts).collect()
     found = {(r["project_id_a"][:4], r["project_id_b"][:4]): r for r in shown}
     assert ("P001", "P001") in found and found[("P001", "P001")]["copies_a"] == 2  # P001 and P002 share a text
     assert ("P006", "P006") in found and not any("P005" in k for k in found)
     scores = {r["project_id"][:4]: r["similarity_anomaly_score"] for r in similarity.duplicate_scores(docs, texts, pairs).collect()}
     assert scores["P006"] <= 0.05 and scores["P007"] <= 0.05 and scores["P001"] > 0
-    related = similarity.related_projects("P002|M2|C1|S1", docs, texts, pairs).collect()
+    related = similarity.related_projects("P002|M2|C1|S1", docs, texts, model, 0.5).collect()
     assert [(r["other_id"][:4], r["similarity_score"]) for r in related] == [("P001", 1.0)]
 
 
