@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.numbers import any_of, clip_or_null, rounded
 from ledgerlens.functions.text import lookup
-from ledgerlens.operators.blocking import blocked_lookup
 from ledgerlens.operators.quality import melt
 from ledgerlens.operators.ranking import keep_first
-from ledgerlens.session import checkpoint
+from ledgerlens.operators.sites import nearest_sites
+from ledgerlens.session import materialize
 
 # Weights and labels of the administrative relationships.
 GEO_WEIGHT = {"SAME_CONSTITUENCY": 1.0, "SAME_STATE_DIFF_CONST": 0.7, "DIFF_STATE": 0.4, "UNKNOWN": 0.5}
@@ -160,80 +160,53 @@ def location_coverage(projects: DataFrame) -> DataFrame:
 # --- neighbours -----------------------------------------------------------------------------------
 
 RADIUS_KM = 5.0
-RINGS = (0.1, 0.5, 2.5, 12.0)  # cell sizes in degrees; each divides 360
 
 
-def _cells(df: DataFrame, size: float, reach: Column | None = None) -> DataFrame:
-    """Grid cell of each point, or with ``reach`` the cells from -1..1 by -reach..reach around it."""
-    n_lon = int(round(360 / size))
-    row = F.floor((F.col("latitude") + 90) / size).cast("int")
-    column = F.floor((F.col("longitude") + 180) / size).cast("int")
-    if reach is None:
-        return df.withColumns({"__row": row, "__col": F.pmod(column, F.lit(n_lon))})
-    near = df.withColumn("__row", F.explode(F.sequence(row - 1, row + 1)))
-    wide = F.least(reach, F.lit((n_lon - 1) // 2))
-    # the half turn on either side already covers all columns
-    return near.withColumn("__col", F.explode(F.array_distinct(F.transform(F.sequence(column - wide, column + wide), lambda c: F.pmod(c, F.lit(n_lon))))))
+def _sites(points: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each place (of an area, if ``keys`` name one): its points, their smallest and second smallest id."""
+    # of many points at one place only the two smallest ids matter: two rounds of minima instead of a list of all
+    sites = points.groupBy(*keys, "latitude", "longitude").agg(F.count("*").alias("n"), F.min("project_id").alias("low"))
+    rest = points.join(sites.where("n > 1").select(*keys, "latitude", "longitude", "low"), [*keys, "latitude", "longitude"])
+    second = rest.where(F.col("project_id") != F.col("low")).groupBy(*keys, "latitude", "longitude").agg(F.min("project_id").alias("second"))
+    return sites.join(second, [*keys, "latitude", "longitude"], "left")
 
 
-def _met(points: DataFrame, sites: DataFrame, keys: list[str], size: float, reach: Column) -> DataFrame:
-    """Points with the sites in the surrounding cells and their distance; hot cells are split."""
-    left = _cells(points.select(*keys, "__id", "latitude", "longitude"), size, reach)
-    right = _cells(sites, size).withColumnsRenamed({"latitude": "__lat", "longitude": "__lon"})
-    met = blocked_lookup(left, right, [*keys, "__row", "__col"], F.struct("__lat", "__lon"))
-    return met.withColumn("__km", haversine_km(F.col("latitude"), F.col("longitude"), F.col("__lat"), F.col("__lon")))
+def _nearest(points: DataFrame, groups: list[list[str]], radii: tuple[float, ...]) -> list[DataFrame]:
+    """For each list of keys, every point's nearest other among the points with equal keys: __id, __near_km, __near_id, __counts.
 
-
-def _safe_km(size: float) -> Column:
-    """Distance that the 3 x 3 cells around a point cover for certain."""
-    top = F.least(F.abs("latitude") + size, F.lit(90.0))
-    return 2 * EARTH_KM * F.asin(F.cos(F.radians(top)) * math.sin(math.radians(size / 2)))
+    All lists are searched in one hierarchy of cells, in which each value of the keys is an area of its own. Points at one place are one
+    site; rows with a null key have no peers and are left out.
+    """
+    points = materialize(points, "points")
+    parts, made = [], []
+    for k, keys in enumerate(groups):
+        own = points.dropna(subset=keys) if keys else points
+        own = own.select(*keys, "project_id", "latitude", "longitude")
+        sites = materialize(_sites(own, keys).withColumn("site", F.monotonically_increasing_id() * len(groups) + k), "sites")
+        if keys:
+            areas = materialize(sites.select(*keys).distinct().withColumn("area", (F.monotonically_increasing_id() + 1) * len(groups) + k), "areas")
+            sites_in = sites.join(areas, keys)
+        else:
+            sites_in = sites.withColumn("area", F.lit(k).cast("long"))
+        made.append(sites_in.select("site", "area", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), "n", "low"))
+        parts.append((own.withColumnRenamed("project_id", "__id"), sites, keys))
+    found = materialize(nearest_sites(materialize(reduce(DataFrame.unionByName, made), "all-sites"), radii), "nearest")
+    out = []
+    for own, sites, keys in parts:
+        told = sites.join(found.select("site", "km", F.col("low").alias("other"), "counts"), "site")
+        met = own.join(told, [*keys, "latitude", "longitude"])
+        shared = F.col("n") > 1
+        near = F.when(shared, F.when(F.col("__id") == F.col("low"), F.col("second")).otherwise(F.col("low"))).otherwise(F.col("other"))
+        out.append(met.select("__id", F.when(shared, 0.0).otherwise(F.col("km")).alias("__near_km"), near.alias("__near_id"), F.col("counts").alias("__counts")))
+    return out
 
 
 def nearest_site(points: DataFrame, keys: list[str]) -> DataFrame:
-    """Nearest other point of every point with the same ``keys``: __id, __near_km, __near_id; ties by id.
+    """Nearest other point of every point with the same ``keys``: __id, __near_km, __near_id; the smaller id of equally near ones.
 
-    Points that share coordinates are one site.  The search starts in small cells and repeats in larger
-    ones only for points whose nearest site is not certain yet.
+    Points without another have no row.
     """
-    sites = points.groupBy(*keys, "latitude", "longitude").agg(
-        F.count("*").alias("__n"), F.min("project_id").alias("__low"), F.max("project_id").alias("__high")
-    )
-    at_site = points.select(*keys, F.col("project_id").alias("__id"), "latitude", "longitude").join(
-        sites, [*keys, "latitude", "longitude"]
-    )
-    # the smallest other id at the same coordinates
-    second = (
-        points.join(sites.select(*keys, "latitude", "longitude", "__low"), [*keys, "latitude", "longitude"])
-        .filter(F.col("project_id") != F.col("__low"))
-        .groupBy(*keys, "latitude", "longitude")
-        .agg(F.min("project_id").alias("__second"))
-    )
-    shared = (
-        at_site.filter("__n > 1")
-        .join(second, [*keys, "latitude", "longitude"])
-        .select(
-            "__id", F.lit(0.0).alias("__near_km"),
-            F.when(F.col("__id") == F.col("__low"), F.col("__second")).otherwise(F.col("__low")).alias("__near_id"),
-        )
-    )
-    open_points = at_site.filter("__n = 1").select(*keys, "__id", "latitude", "longitude")
-    found = [shared]
-    other = (F.col("__lat") != F.col("latitude")) | (F.col("__lon") != F.col("longitude"))
-    best = F.min(F.struct("__km", "__low")).alias("__best")
-    for size in RINGS:
-        met = _met(open_points, sites, keys, size, F.lit(1)).filter(other & (F.col("__km") <= _safe_km(size)))
-        hit = checkpoint(met.groupBy("__id").agg(best).select("__id", F.col("__best.__km").alias("__near_km"), F.col("__best.__low").alias("__near_id")))
-        found.append(hit)
-        open_points = checkpoint(open_points.join(hit, "__id", "left_anti"))
-    everywhere = lambda df: df.withColumn("__all", F.lit(0))
-    far = blocked_lookup(
-        everywhere(open_points), everywhere(sites.withColumnsRenamed({"latitude": "__lat", "longitude": "__lon"})),
-        [*keys, "__all"], F.struct("__lat", "__lon"),
-    ).filter(other)
-    far = far.withColumn("__km", haversine_km(F.col("latitude"), F.col("longitude"), F.col("__lat"), F.col("__lon")))
-    found.append(far.groupBy("__id").agg(best).select("__id", F.col("__best.__km").alias("__near_km"), F.col("__best.__low").alias("__near_id")))
-    return reduce(DataFrame.unionByName, found)
+    return _nearest(points, [keys], ())[0].drop("__counts").filter("__near_km is not null")
 
 
 def proximity_features(projects: DataFrame, locations: DataFrame) -> DataFrame:
@@ -242,24 +215,16 @@ def proximity_features(projects: DataFrame, locations: DataFrame) -> DataFrame:
     ``locations``: project_id, latitude, longitude, state, constituency; projects without coordinates get nulls.
     """
     points = locations.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
-    sites = points.groupBy("latitude", "longitude").agg(F.count("*").alias("__n"))
-    size = RINGS[0]
-    lat_top = F.least(F.abs("latitude") + size, F.lit(89.9))
-    reach = F.ceil(RADIUS_KM / (F.cos(F.radians(lat_top)) * (EARTH_KM * math.pi / 180 * size * 0.99))).cast("int")
-    met = _met(points.withColumn("__id", F.col("project_id")), sites, [], size, reach)
-    within = lambda km: F.sum(F.when(F.col("__km") <= km, F.col("__n")).otherwise(0))
-    counts = met.groupBy("__id").agg(
-        (within(0.5) - 1).alias("nearby_projects_500m"), (within(1.0) - 1).alias("nearby_projects_1km"),
-        (within(RADIUS_KM) - 1).alias("nearby_projects_5km"),
-    )
-    near = nearest_site(points, [])
     area = ["state", "constituency"]
+    points = materialize(points.select("project_id", "latitude", "longitude", *area), "points")
+    near, near_same = _nearest(points, [[], area], (0.5, 1.0, RADIUS_KM))
+    near_same = near_same.select("__id", F.col("__near_km").alias("nearest_same_constituency_distance_km"))
     same = points.groupBy(*area).agg((F.count("*") - 1).alias("same_constituency_project_count"))
-    near_same = nearest_site(points, area).select("__id", F.col("__near_km").alias("nearest_same_constituency_distance_km"))
+    within = lambda k: F.get("__counts", F.lit(k)) - 1
+    counts = {"nearby_projects_500m": within(0), "nearby_projects_1km": within(1), "nearby_projects_5km": within(2)}
     located = (
-        points.select("project_id", F.col("project_id").alias("__id"), "latitude", "longitude", *area)
-        .join(counts, "__id", "left").join(near, "__id", "left").join(near_same, "__id", "left").join(same, area, "left")
-    )
+        points.withColumn("__id", F.col("project_id")).join(near.withColumns(counts), "__id", "left").join(near_same, "__id", "left").join(same, area, "left")
+    )
     features = located.select(
         "project_id", "latitude", "longitude", F.col("__near_id").alias("nearest_project_id"),
         F.col("__near_km").alias("nearest_project_distance_km"), "nearby_projects_500m", "nearby_projects_1km",
