@@ -184,6 +184,27 @@ def test_trends_alerts_priority(spark):
     assert sorted(r["investigation_rank"] for r in ranked.values()) == [1, 2, 3] and ranked["H"]["investigation_rank"] == 1
 
 
+def test_quantiles_of_one_huge_group(spark, monkeypatch):
+    """Rounds of counts until a bracket holds few values: ties, far outliers, nearly equal values, and small groups beside."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    huge = np.concatenate([rng.normal(size=6000), np.full(3000, 0.25), 1 + np.arange(3000) * 1e-12, [-1e300, 1e300]])
+    rows = [("h", float(v)) for v in huge] + [(None, float(v)) for v in rng.normal(size=90)] + [("one", 5.0), ("h", None)]
+    monkeypatch.setattr(quantiles, "BAND", 8)
+    monkeypatch.setattr(quantiles, "ACCURACY", 100)
+    monkeypatch.setattr(quantiles, "BUCKETS", 16)
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.62, "e": 0.75, "f": 0.9, "g1": 1.0}
+    values = {}
+    for g, v in rows:
+        if v is not None:
+            values.setdefault(g, []).append(v)
+    for row in quantiles.group_quantiles(df, ["g"], "v", probs).collect():
+        for name, p in probs.items():
+            assert row[name] == pytest.approx(float(np.quantile(values[row["g"]], p)), rel=1e-12), (row["g"], name)
+
+
 def test_quantiles_against_sorting(spark):
     import numpy as np
 
