@@ -262,15 +262,14 @@ def similar_pairs(rows: DataFrame, width: int = 5, similarity: float = 0.8, crow
     more than four standard errors too far apart, and each remaining link is checked exactly on the whole texts.
 
     All members of a variant are first paired with one of them, another in each variant, so candidates grow with the rows. In
-    variants whose members checked links leave in several components, the untested close pairs of different components follow, the
-    closest ``most`` of two components at first and 16 times as many each round, until none is left. Members of such variants of
+    variants whose members checked links leave in several components, all members of different components are compared in cells of
+    bounded size, there by their shingles, and only links that hold are emitted, no more than connect the cell. Members of such variants of
     more than ``crowd`` texts (templates, text in common) are indexed again with longer segments instead; only what is crowded
-    there too is compared in blocks.
+    there too is compared in blocks whatever its size.
     """
     texts = materialize(rows.select("node", "text").groupBy("node").agg(F.first("text").alias("text")), "texts")
     marks = _marks(texts, width)
-    found = tested = materialize(marks.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), "none")
-    rows_in = marks
+    found, rows_in = None, marks
     for level in range(len(LEVELS)):
         # from files, so that the join deals out both sides itself and can split a hot variant
         members = _members(rows_in, level)
@@ -278,18 +277,20 @@ def similar_pairs(rows: DataFrame, width: int = 5, similarity: float = 0.8, crow
         heads = materialize(members.groupBy("band").agg(F.count("*").alias("n"), first.alias("head")).where("n > 1"), "heads")
         met = materialize(members.join(heads.hint("merge"), "band"), "met")
         pairs = met.where("node != head").select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct()
-        fresh = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "candidates")
-        found = materialize(found.union(_alike(_close(fresh, marks, similarity), texts, width, similarity)), "found")
-        tested = tested.union(fresh)
+        checked = _alike(_close(pairs, marks, similarity), texts, width, similarity)
+        found = checked if found is None else materialize(found.union(checked), "found")
+        roots = materialize(components(found), "roots")
+        named = met.where("n > 2").join(roots, "node", "left").select("band", "node", "n", F.coalesce("root", "node").alias("root"))
+        named = materialize(named, "named")
+        split = named.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("band")
+        crowds = materialize(named.join(materialize(split, "split").hint("merge"), "band", "left_semi"), "crowds")
         last = level + 1 == len(LEVELS)
-        small = met.where("n > 2") if last else met.where((F.col("n") > 2) & (F.col("n") <= crowd))
-        found, tested = _settled(small.select("band", "node"), found, tested, marks, texts, width, similarity)
+        small = crowds if last else crowds.where(F.col("n") <= crowd)
+        links = materialize(_cells(small.drop("n"), texts, width).mapInArrow(_cell_links(similarity), _pair_kind(marks)).distinct(), "links")
+        found = materialize(found.union(_alike(links, texts, width, similarity)), "found")
         if last:
             return found
-        named = met.where(F.col("n") > crowd).join(components(found), "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-        named = materialize(named, "crowded")
-        split = named.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y")
-        again = named.join(materialize(split.select("band"), "split"), "band", "left_semi").select("node").distinct()
+        again = crowds.where(F.col("n") > crowd).select("node").distinct()
         rows_in = materialize(marks.join(again, "node", "left_semi"), "again")
         if rows_in.isEmpty():
             return found
@@ -310,37 +311,33 @@ def _members(marks: DataFrame, level: int) -> DataFrame:
     return marks.select("node", "sketch").mapInArrow(of, f"node {kind}, bands array<long>").select(F.explode("bands").alias("band"), "node")
 
 
-def _settled(crowds: DataFrame, found: DataFrame, tested: DataFrame, marks: DataFrame, texts: DataFrame, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """``found`` and ``tested`` after rounds over the variants ``band, node`` that leave no close untested pair of two components."""
-    most, crowds = 4, materialize(crowds, "crowds")
-    while not crowds.isEmpty():
-        cells = _cells(crowds, components(found), marks)
-        more = materialize(cells.mapInArrow(_cell_pairs(_lowest(similarity), most), _pair_kind(marks)), "more")
-        fresh = materialize(more.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "fresh")
-        if not fresh.isEmpty():
-            found = materialize(found.union(_alike(fresh, texts, width, similarity)), "found")
-            tested = tested.union(fresh)
-        cut = materialize(more.where("cut").select("band").distinct(), "cut")
-        crowds, most = materialize(crowds.join(cut, "band", "left_semi"), "crowds"), most * 16
-    return found, tested
-
-
 def _pair_kind(rows: DataFrame) -> str:
     kind = rows.schema["node"].dataType.simpleString()
-    return f"a {kind}, b {kind}, band long, cut boolean"
+    return f"a {kind}, b {kind}"
+
 
+def _sets(texts: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """``node, shingles`` of some nodes: the sorted different shingle hashes, 32 bits each."""
 
-def _cells(crowds: DataFrame, roots: DataFrame, marks: DataFrame, block: int = 256) -> DataFrame:
-    """``band, x, y, who``: the members (``node, root, part, sketch``) of buckets with several components, so cut that each two
-    members of different components are together in a cell of at most about twice ``block`` members.
+    def of(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in parts:
+            sets = [np.unique(shingle_hashes(t.as_py(), width).astype("<u4")).tobytes() for t in x.column("text")]
+            yield pa.RecordBatch.from_arrays([x.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    kind = texts.schema["node"].dataType.simpleString()
+    wanted = texts.join(nodes.distinct(), "node", "left_semi").select("node", "text")
+    return materialize(wanted.mapInArrow(of, f"node {kind}, shingles binary"), "sets")
+
+
+def _cells(named: DataFrame, texts: DataFrame, width: int, block: int = 256) -> DataFrame:
+    """``x, who``: the members (``node, root, part, shingles``) of variants ``band, node, root`` with several components, so cut that each
+    two members of different components are together in a cell of at most about twice ``block`` members.
 
     Blocks of the largest component (``part`` -1) meet blocks of the others; only where ``block`` members are outside the
     largest one do the blocks of the others (``x`` < 0) meet each other too.
     """
-    named = crowds.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    named = materialize(named, "named")
     sizes = named.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band")
-    sizes = sizes.agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
+    sizes = sizes.agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n"))
     blocks = lambda n: F.ceil(n / block).cast("int")
     sizes = sizes.select("band", F.col("main.root").alias("main"), blocks(F.col("main.n")).alias("mains"), blocks(F.col("n") - F.col("main.n")).alias("others"))
     met = named.join(materialize(sizes, "sizes").hint("merge"), "band").withColumn("inside", F.col("root") == F.col("main"))
@@ -352,38 +349,65 @@ def _cells(crowds: DataFrame, roots: DataFrame, marks: DataFrame, block: int = 2
     across = F.transform(upto("mains"), lambda x: cell(x, F.col("at")))
     beside = F.transform(F.filter(upto("others"), lambda k: k != F.col("at")), lambda k: cell(-1 - F.least(k, "at"), F.greatest(k, "at")))
     met = met.select("band", "node", "root", F.when(F.col("inside"), -1).otherwise(F.col("at")).alias("part"), F.explode(F.when(F.col("inside"), own).otherwise(F.concat(across, beside))).alias("cell"))
-    met = met.join(marks.select("node", "sketch"), "node")
-    return met.groupBy("band", "cell").agg(F.collect_list(F.struct("node", "root", "part", "sketch")).alias("who")).select("band", "cell.x", "cell.y", "who")
-
-
-def _cell_pairs(lowest: int, most: int):
-    """The ``most`` closest pairs of each two components in a cell; ``cut`` says whether there were more."""
+    met = met.join(_sets(texts, named.select("node"), width), "node")
+    return met.groupBy("band", "cell").agg(F.collect_list(F.struct("node", "root", "part", "shingles")).alias("who")).select("cell.x", "who")
+
+
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """The Jaccard similarity of each two of the sets; 1 for two empty ones."""
+    sizes = np.array([len(v) for v in sets], np.float32)
+    values, which, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes.astype(np.int64))
+    shared = np.flatnonzero(times > 1)  # what one set alone has adds to no overlap
+    place = np.full(len(values), -1)
+    place[shared] = np.arange(len(shared))
+    column = place[which]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    for at in range(0, len(shared), 4096):
+        a, b = np.searchsorted(column, [at, at + 4096])
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[owner[a:b], column[a:b] - at] = 1
+        both += part @ part.T
+    either = sizes[:, None] + sizes[None, :] - both
+    return np.where(either > 0, both / np.maximum(either, 1), 1.0)
+
+
+def _cell_links(similarity: float):
+    """Links between members of different components in each cell that are alike, as few as connect them."""
 
     def of(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cells in parts:
-            for band, x, who in zip(cells.column("band").to_pylist(), cells.column("x").to_pylist(), cells.column("who").to_pylist()):
-                node, part = [w["node"] for w in who], np.array([w["part"] for w in who])
-                root = pd.factorize(pd.Series([w["root"] for w in who]))[0]
-                sketches = np.stack([np.frombuffer(w["sketch"], np.uint16) for w in who])
-                equal = np.zeros((len(node), len(node)), np.uint8)
-                for column in sketches.T:
-                    equal += column[:, None] == column[None, :]
-                wanted = np.triu((equal >= lowest) & (root[:, None] != root[None, :]))
+            kind = cells.schema.field("who").type.value_type.field("node").type
+            for x, who in zip(cells.column("x").to_pylist(), cells.column("who")):
+                held = who.values
+                node, part = held.field("node").to_pylist(), held.field("part").to_numpy()
+                root = pd.factorize(held.field("root").to_pandas())[0]
+                alike = _overlaps([np.frombuffer(v, "<u4") for v in held.field("shingles").to_pylist()])
+                wanted = np.triu((alike >= similarity - 1e-6) & (root[:, None] != root[None, :]))
                 # members outside the largest component meet in the first of its blocks, or in a cell of their two blocks
                 outside = (part[:, None] >= 0) & (part[None, :] >= 0)
                 if x:
                     wanted &= ~outside if x > 0 else part[:, None] != part[None, :]
                 i, j = np.nonzero(wanted)
-                if not len(i):
-                    continue
-                order = np.argsort(-equal[i, j].astype(np.int16), kind="stable")
-                i, j = i[order], j[order]
-                two = pd.Series(np.maximum(root[i], root[j]) * len(node) + np.minimum(root[i], root[j]))
-                kept = (two.groupby(two).cumcount() < most).to_numpy(bool)
-                ends = [(node[k], node[m]) for k, m in zip(i[kept].tolist(), j[kept].tolist())]
-                kind = cells.schema.field("who").type.value_type.field("node").type
-                columns = [pa.array(map(max, ends), kind), pa.array(map(min, ends), kind), pa.array([band] * len(ends), pa.int64()), pa.array([not kept.all()] * len(ends))]
-                yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "band", "cut"])
+                # one link for each two components, then a forest over the components
+                _, first = np.unique(np.minimum(root[i], root[j]) * len(node) + np.maximum(root[i], root[j]), return_index=True)
+                above, ends = list(range(len(node))), []
+
+                def top(c: int) -> int:
+                    while above[c] != c:  # noqa: B023
+                        above[c] = above[above[c]]  # noqa: B023
+                        c = above[c]  # noqa: B023
+                    return c
+
+                for k, m in zip(i[first].tolist(), j[first].tolist()):
+                    p, q = top(root[k]), top(root[m])
+                    if p != q:
+                        above[p] = q
+                        ends.append((node[k], node[m]))
+                if ends:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(map(max, ends)), kind), pa.array(list(map(min, ends)), kind)], names=["a", "b"])
 
     return of
 
