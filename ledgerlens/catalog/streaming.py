@@ -149,19 +149,19 @@ def s07(t):
 def streamed_state(t):
     out = scratch_path(t.spark, "state")
     jobs.start_state(EventStream(t.spark, t.sf_dir).project_events, out, f"{out}-checkpoint", once=True).awaitTermination()
-    return t.spark.read.parquet(f"{out}/state")
+    return out
 
 
 @query("L06_project_state_stream", "SELECT * FROM l_state")
 def l06_stream(t):
-    return jobs.read_state(streamed_state(t))
+    return jobs.load_state(t.spark, streamed_state(t))
 
 
 @query("L07_mp_state_stream", "SELECT * FROM l_mp")
 def l07_stream(t):
-    return jobs.read_mp_state(streamed_state(t))
+    return jobs.load_mp_state(t.spark, streamed_state(t))
 
 
 @query("L08_stream_dashboard_stream", DASHBOARD)
 def l08_stream(t):
-    return jobs.read_dashboard(streamed_state(t))
+    return jobs.load_dashboard(t.spark, streamed_state(t))

@@ -149,15 +149,12 @@ def progress_counts(routed: DataFrame) -> DataFrame:
     )
 
 
-def project_state(events: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """State per project: last values by event time, running spend and payment count."""
-    at = F.struct(*(order or ["event_timestamp", "event_type", "event_id"]))
-    kind = F.col("event_type")
+ORDER = ["event_timestamp", "event_type", "event_id"]
 
-    def last(value: Column, when: Column | None = None) -> Column:
-        """Latest value; by default of the events that carry one."""
-        return F.max_by(value, F.when(value.isNotNull() if when is None else when, at))
 
+def _state_parts() -> tuple[dict[str, tuple[Column, Column]], Column]:
+    """Per field of a project's state that keeps the latest value: the value of an event, and whether the event carries one."""
+    kind = F.col("event_type")
     text = lambda c: F.nullif(F.col(c), F.lit(""))
     status = (
         F.when(kind.isin("PROJECT_CREATED", "PROJECT_RECOMMENDED"), F.coalesce(text("project_status"), F.lit("recommended")))
@@ -166,20 +163,57 @@ def project_state(events: DataFrame, order: list[str] | None = None) -> DataFram
     )
     paid = kind == "PAYMENT_RECEIVED"
     payment = F.when(kind.isin("PAYMENT_RECEIVED", "PAYMENT_STATUS_UPDATED"), F.lower(text("payment_status")))
-    spent = F.sum(F.when(paid, F.col("expenditure_amount").cast("decimal(18,2)"))).cast("double")
+    carried = lambda c: (c, c.isNotNull())
+    fields = {
+        "current_status": carried(status), "recommended_amount": carried(F.col("recommended_amount")), "final_amount": carried(F.col("final_amount")),
+        "latest_payment_status": carried(payment), "completed_date": (F.col("completed_date"), kind == "PROJECT_COMPLETED"),
+        **{c: carried(text(c)) for c in ("mp_name", "state", "constituency")},
+    }
+    return fields, paid
+
+
+def partial_state(events: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Per project what its events say, in a form that can be merged: each latest value with its place, sums and counts."""
+    fields, paid = _state_parts()
+    at = F.struct(*(order or ORDER))
+    latest = [F.max(F.when(has, F.struct(at.alias("at"), value.alias("value")))).alias(name) for name, (value, has) in fields.items()]
     return events.groupBy("project_id").agg(
-        F.coalesce(last(status), F.lit("new")).alias("current_status"),
-        F.coalesce(last(F.col("recommended_amount")), F.lit(0.0)).alias("recommended_amount"),
-        F.coalesce(last(F.col("final_amount")), F.lit(0.0)).alias("final_amount"),
-        F.coalesce(spent, F.lit(0.0)).alias("total_expenditure"),
-        F.count_if(paid).alias("payment_count"),
-        F.coalesce(last(payment), F.lit("unknown")).alias("latest_payment_status"),
-        F.max("event_timestamp").alias("latest_event_timestamp"),
-        last(F.col("completed_date"), kind == "PROJECT_COMPLETED").alias("completed_date"),
-        *[last(text(c)).alias(c) for c in ("mp_name", "state", "constituency")],
+        *latest, F.sum(F.when(paid, F.col("expenditure_amount").cast("decimal(18,2)"))).cast("decimal(28,2)").alias("total_expenditure"),
+        F.count_if(paid).alias("payment_count"), F.max("event_timestamp").alias("latest_event_timestamp"),
+    )
+
+
+def merge_partial(parts: DataFrame) -> DataFrame:
+    """One partial state per project from several; events must not be counted in two of them."""
+    latest = [F.max(c).alias(c) for c in _state_parts()[0]]
+    return parts.groupBy("project_id").agg(
+        *latest, F.sum("total_expenditure").cast("decimal(28,2)").alias("total_expenditure"), F.sum("payment_count").alias("payment_count"),
+        F.max("latest_event_timestamp").alias("latest_event_timestamp"),
+    )
+
+
+def finished_state(parts: DataFrame) -> DataFrame:
+    """State per project: last values by event time, running spend and payment count."""
+    value = lambda c: F.col(c)["value"]
+    return parts.select(
+        "project_id",
+        F.coalesce(value("current_status"), F.lit("new")).alias("current_status"),
+        F.coalesce(value("recommended_amount"), F.lit(0.0)).alias("recommended_amount"),
+        F.coalesce(value("final_amount"), F.lit(0.0)).alias("final_amount"),
+        F.coalesce(F.col("total_expenditure").cast("double"), F.lit(0.0)).alias("total_expenditure"),
+        "payment_count",
+        F.coalesce(value("latest_payment_status"), F.lit("unknown")).alias("latest_payment_status"),
+        "latest_event_timestamp",
+        value("completed_date").alias("completed_date"),
+        *[value(c).alias(c) for c in ("mp_name", "state", "constituency")],
     )
 
 
+def project_state(events: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """State per project over all its events."""
+    return finished_state(partial_state(events, order))
+
+
 def mp_state(state: DataFrame) -> DataFrame:
     name = F.coalesce(F.nullif(F.trim("mp_name"), F.lit("")), F.lit("Unknown MP"))
     return state.groupBy(name.alias("mp_name")).agg(

@@ -1,7 +1,8 @@
 """Structured Streaming jobs over the event functions.
 
-Each micro-batch is routed against the log of all earlier batches and written under its own id, so a repeated batch
-overwrites itself. No event is dropped for being late and no id is ever forgotten.
+Accepted event ids and project states are kept in ``store.KeyedStore``: each micro-batch reads only the buckets that its ids and projects
+fall into, however long the stream has run. A repeated batch overwrites itself. No event is dropped for being late and no id is ever
+forgotten.
 """
 
 from __future__ import annotations
@@ -11,12 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerlens.sources.files import write_jsonl
-from ledgerlens.streaming.events import dashboard, mp_state, project_state, route_events
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+from ledgerlens.streaming.events import dashboard, finished_state, merge_partial, mp_state, partial_state, route_events
+from ledgerlens.streaming.store import KeyedStore
 
 
 def route_batch(batch: DataFrame, seen: DataFrame | None) -> DataFrame:
@@ -34,65 +31,84 @@ def route_batch(batch: DataFrame, seen: DataFrame | None) -> DataFrame:
     ).drop("__known")
 
 
-def _store_log(batch: DataFrame, batch_id: int, out: str) -> DataFrame:
-    """Write the routed batch to ``out/log/batch=<id>`` and return all accepted events so far, with their batch."""
-    spark, log = batch.sparkSession, f"{out}/log"
+def id_store(spark: SparkSession, root: str) -> KeyedStore:
+    """Ids of accepted events."""
+    return KeyedStore(spark, root, "event_id", lambda rows: rows.groupBy("event_id").agg(F.min("__run").alias("__run")).drop("__run"))
+
+
+def _newest_state(rows: DataFrame) -> DataFrame:
+    columns = [c for c in rows.columns if c not in ("project_id", "__run")]
+    return rows.groupBy("project_id").agg(F.max_by(F.struct(*columns), "__run").alias("s")).select("project_id", "s.*")
+
+
+def state_store(spark: SparkSession, out: str) -> KeyedStore:
+    """Partial states; a batch writes the whole partial state of each project that it touches, so the newest row counts."""
+    return KeyedStore(spark, f"{out}/state", "project_id", _newest_state)
+
+
+def _routed(batch: DataFrame, batch_id: int, out: str, name: str) -> tuple[DataFrame, KeyedStore]:
+    """Write the routed batch to ``out/<name>/batch=<id>`` and return it with the store of ids, to which it has not been added yet."""
+    spark = batch.sparkSession
     # the order of arrival is fixed by a file before ids are compared
-    arrived = f"{out}/arrived/batch={batch_id}"
+    arrived = f"{out}/{name}-arrived/batch={batch_id}"
     batch.write.mode("overwrite").parquet(arrived)
     fixed = spark.read.schema(batch.schema).parquet(arrived)
-    seen = None
-    if _exists(spark, log):
-        seen = spark.read.parquet(log).where((F.col("batch") < batch_id) & (F.col("event_status") == "processed"))
-    route_batch(fixed, seen).write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
-    return spark.read.parquet(log).where((F.col("batch") <= batch_id) & (F.col("event_status") == "processed"))
+    ids = id_store(spark, f"{out}/{name}-ids")
+    routed = route_batch(fixed, ids.known(fixed, batch_id))
+    routed.write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
+    return spark.read.schema(routed.schema).parquet(f"{out}/{name}/batch={batch_id}"), ids
+
+
+def _accepted(routed: DataFrame) -> DataFrame:
+    return routed.where("event_status = 'processed'")
 
 
 def start_log(events: DataFrame, out: str, checkpoint: str, once: bool = False) -> StreamingQuery:
     """Accepted events as JSON lines in ``out/events``, the others, duplicates included, with their reason in ``out/errors``."""
 
     def split(batch: DataFrame, batch_id: int) -> None:
-        _store_log(batch, batch_id, out)
-        routed = batch.sparkSession.read.parquet(f"{out}/log/batch={batch_id}")
-        write_jsonl(routed.filter("event_status = 'processed'").drop("event_status", "reject_reason"), f"{out}/events/batch={batch_id}")
+        routed, ids = _routed(batch, batch_id, out, "log")
+        write_jsonl(_accepted(routed).drop("event_status", "reject_reason"), f"{out}/events/batch={batch_id}")
         write_jsonl(routed.filter("event_status <> 'processed'"), f"{out}/errors/batch={batch_id}")
+        ids.append(_accepted(routed).select("event_id"), batch_id)
 
     writer = events.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def start_state(events: DataFrame, out: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Keep project states in ``out/state``: each batch folds the accepted events of the projects that it touches.
+def store_states(batch: DataFrame, batch_id: int, out: str) -> None:
+    """Merge the accepted events of one batch into the stored states of their projects."""
+    routed, ids = _routed(batch, batch_id, out, "state-log")
+    states = state_store(batch.sparkSession, out)
+    fresh = partial_state(_accepted(routed))
+    before = states.known(fresh, batch_id)
+    if before is not None:
+        touched = before.join(fresh.select("project_id"), "project_id", "left_semi")
+        fresh = merge_partial(fresh.unionByName(touched))
+    states.append(fresh, batch_id)
+    ids.append(_accepted(routed).select("event_id"), batch_id)
 
-    An event that arrives late is folded at its own event time, however old it is.
-    """
 
-    def store(batch: DataFrame, batch_id: int) -> None:
-        accepted = _store_log(batch, batch_id, out)
-        touched = accepted.where(F.col("batch") == batch_id).select("project_id").distinct()
-        project_state(accepted.join(touched, "project_id", "left_semi")).write.mode("overwrite").parquet(f"{out}/state/batch={batch_id}")
+def start_state(events: DataFrame, out: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Keep project states in ``out/state`` (``load_state``): each batch folds its accepted events into the projects that it touches.
 
-    writer = events.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    An event that arrives late takes its place by its own event time, however old it is.
+    """
+    writer = events.writeStream.foreachBatch(lambda batch, batch_id: store_states(batch, batch_id, out)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def read_state(updates: DataFrame) -> DataFrame:
-    """Newest row per project of the stored batches (``out/state``)."""
-    columns = [c for c in updates.columns if c not in ("project_id", "batch")]
-    latest = updates.groupBy("project_id").agg(F.max_by(F.struct(*columns), "batch").alias("s"))
-    return latest.select("project_id", "s.*")
-
-
-def compact_state(spark: SparkSession, out: str, to: str) -> None:
-    """Write the newest row of each project, under the newest batch id, to the new folder ``to``; a stopped stream may go on there."""
-    updates = spark.read.parquet(f"{out}/state")
-    newest = updates.agg(F.max("batch")).first()[0]
-    read_state(updates).write.parquet(f"{to}/state/batch={newest}")
+def load_state(spark: SparkSession, out: str) -> DataFrame:
+    """State per project of the committed batches; raises if there is none yet."""
+    found = state_store(spark, out).current()
+    if found is None:
+        raise ValueError(f"no batch is committed in {out}/state")
+    return finished_state(found)
 
 
-def read_mp_state(updates: DataFrame) -> DataFrame:
-    return mp_state(read_state(updates))
+def load_mp_state(spark: SparkSession, out: str) -> DataFrame:
+    return mp_state(load_state(spark, out))
 
 
-def read_dashboard(updates: DataFrame) -> DataFrame:
-    return dashboard(read_state(updates))
+def load_dashboard(spark: SparkSession, out: str) -> DataFrame:
+    return dashboard(load_state(spark, out))

@@ -171,7 +171,7 @@ def test_stream_state_equals_batch(spark, tmp_path):
     write_log(source, sample_events())
     stream = files.stream_event_log(spark, source)
     jobs.start_state(stream, out, str(tmp_path / "cp"), once=True).awaitTermination()
-    live = {r["project_id"]: r.asDict() for r in jobs.read_state(spark.read.parquet(f"{out}/state")).collect()}
+    live = {r["project_id"]: r.asDict() for r in jobs.load_state(spark, out).collect()}
     log = files.read_event_log(spark, source).coalesce(1).withColumn("seq", F.monotonically_increasing_id())
     batch = events.project_state(events.route_events(log, "seq").filter("event_status = 'processed'"))
     assert live == {r["project_id"]: r.asDict() for r in batch.collect()}
@@ -193,12 +193,11 @@ def test_late_and_repeated_events_over_batches(spark, tmp_path):
             f.write(json.dumps(base | {"event_id": name, "event_timestamp": f"{day}T00:00:00Z", "expenditure_amount": amount}))
         jobs.start_state(files.stream_event_log(spark, source), out, str(tmp_path / "cp"), once=True).awaitTermination()
         jobs.start_log(files.stream_event_log(spark, source), logs, str(tmp_path / "cp2"), once=True).awaitTermination()
-    (p,) = jobs.read_state(spark.read.parquet(f"{out}/state")).collect()
+    (p,) = jobs.load_state(spark, out).collect()
     assert (p["total_expenditure"], p["payment_count"], p["latest_event_timestamp"][:10]) == (35.0, 3, "2024-03-25")
     assert spark.read.json(f"{logs}/events").count() == 3
     assert [r["reject_reason"] for r in spark.read.json(f"{logs}/errors").collect()] == ["duplicate event_id"]
-    jobs.compact_state(spark, out, str(tmp_path / "compact"))
-    assert jobs.read_mp_state(spark.read.parquet(str(tmp_path / "compact/state"))).first()["expenditure_total"] == 35.0
+    assert jobs.load_mp_state(spark, out).first()["expenditure_total"] == 35.0
 
 
 def test_registry_strictness(spark, tmp_path):
