@@ -192,6 +192,17 @@ def o04(t):
     return page.join(dashboard.page_info(t.risk, 50).withColumn("one", F.lit(1)), "one").drop("one")
 
 
+KEYSET = "SELECT project_id, overall_risk_score FROM (SELECT project_id, overall_risk_score, row_number() OVER (ORDER BY overall_risk_score {0} NULLS LAST, project_id) place FROM r_risk) WHERE place BETWEEN 101 AND 150"
+
+
+@query("O04_keyset_page", KEYSET.format("DESC"))
+def o04_keyset(t):
+    """The third page by the values of the second one's last row."""
+    order = dashboard.order_columns("risk_desc", "project_id")
+    last = dashboard.page_of(t.risk, order, 2, 50).orderBy(F.asc("overall_risk_score"), F.desc("project_id")).first()
+    return dashboard.page_after(t.risk, "risk_desc", "project_id", (last["overall_risk_score"], last["project_id"])).select("project_id", "overall_risk_score")
+
+
 @query("O05_event_order", "SELECT event_id, seq, event_timestamp, row_number() OVER (ORDER BY event_timestamp, event_type, event_id, seq) place FROM r_events")
 def o05(t):
     order = [F.asc(c) for c in ("event_timestamp", "event_type", "event_id", "seq")]

@@ -94,20 +94,21 @@ SIGNALS = "list_sort(list_filter([" + ",".join(
 SIGNAL_TEXT = f"list_transform({SIGNALS}, lambda x: x.l||' (Score: '||{f('x.s', 2)}||', Weight: '||{f('-x.m', 1)}||'%)')"
 
 
-def factors_sql(brief):
+def factors_sql(brief, shown=False):
     w = (("σ deviation)", "stall", "Payment Structuring", "Verbatim Duplicate Match", "Multivariate ML Outlier: High-dimensional deviation",
           "Nominal project execution: operational metrics within normal historical tolerances.")
          if brief else ("σ)", "delay", "Payment Anomaly", "Verbatim Text Match", "Multivariate ML Anomaly: High dimensional deviation",
                         "Nominal project indicators: execution within normal baseline variance."))
     sim = "s_s" if brief else fr(131)
-    drivers = "left('total_expenditure (+'||(n%90)||'.0 sigma); payment_count (+2.0 sigma); days_since_recommendation (-1.5 sigma)',80)"
+    drivers = "'total_expenditure (+'||(n%90)||'.0 sigma); payment_count (+2.0 sigma); days_since_recommendation (-1.5 sigma)'"
+    drivers = f"left({drivers},80)||'...'" if shown else drivers
     found = "list_filter([" + ",".join([
         f"CASE WHEN c_f OR c_s>=0.5 THEN 'Cost Anomaly: '||CASE WHEN n%2=0 THEN 'EXPENDITURE OVERRUN' ELSE 'EXTREME PEER INFLATION' END||CASE WHEN n%3<>0 THEN ' (+'||{f('(n%700)/100e0', 1)}||'{w[0]}' ELSE '' END||' (Score: '||{f('c_s', 2)}||')' END",
         f"CASE WHEN d_f OR d_s>=0.5 THEN 'Delay Risk: Forecasted project {w[1]} (~'||(200+n%600)||' days predicted) (Score: '||{f('d_s', 2)}||')' END",
         f"CASE WHEN p_f OR p_s>=0.5 THEN '{w[2]}: SEVERE BUDGET OVERRUN (Score: '||{f('p_s', 2)}||')' END",
         f"CASE WHEN r_f OR r_s>=0.3 THEN 'Rule Violations: COMPLIANCE-001;GHOST-003 ['||(n%3)||' triggered] (Score: '||{f('r_s', 2)}||')' END",
         f"CASE WHEN s_f OR s_s>=0.5 THEN 'Duplicate Work Alert: '||{f(sim, 2)}||' text similarity with '||(n%12)||' project(s)'||CASE WHEN n%13=0 THEN ' [{w[3]}]' ELSE '' END END",
-        f"CASE WHEN i_f OR i_s>=0.5 THEN '{w[4]}'||CASE WHEN n%2=0 THEN ' [Drivers: '||{drivers}||'...]' ELSE '' END END",
+        f"CASE WHEN i_f OR i_s>=0.5 THEN '{w[4]}'||CASE WHEN n%2=0 THEN ' [Drivers: '||{drivers}||']' ELSE '' END END",
     ]) + "], lambda x: x IS NOT NULL)"
     return f"CASE WHEN len({found})>0 THEN {found} ELSE ['{w[5]}'] END"
 
@@ -115,7 +116,7 @@ def factors_sql(brief):
 cte(
     "k_fused",
     f"""SELECT *, {R("o", 4)} overall_risk_score, CASE WHEN o>=0.8 THEN 'CRITICAL' WHEN o>=0.6 THEN 'HIGH' WHEN o>=0.3 THEN 'MEDIUM' ELSE 'LOW' END risk_category,
-    {SIGNAL_TEXT} sig, {factors_sql(False)} fac FROM k_over""",
+    {SIGNAL_TEXT} sig, {factors_sql(False)} fac, {factors_sql(False, True)} fac_shown FROM k_over""",
 )
 EXPLAIN = f"""CASE WHEN o>=0.6 THEN 'Flagged as '||risk_category||' RISK (score '||{f("o", 2)}||'). Primary drivers: '||array_to_string(sig[1:2],'; ')||'.'
  WHEN o>=0.3 THEN 'Classified as '||risk_category||' RISK (score '||{f("o", 2)}||'). Moderate operational or financial friction observed.'
@@ -198,9 +199,9 @@ def i10(t):
     return fused(t).select("project_id", "top_risk_signals")
 
 
-@query("I11_risk_factors", "SELECT project_id, to_json(fac)::VARCHAR risk_factors FROM k_fused")
+@query("I11_risk_factors", "SELECT project_id, to_json(fac)::VARCHAR risk_factors, to_json(fac_shown)::VARCHAR risk_factors_shown FROM k_fused")
 def i11(t):
-    return fused(t).select("project_id", "risk_factors")
+    return fused(t).select("project_id", "risk_factors", "risk_factors_shown")
 
 
 @query("I12_audit_explanation", f"SELECT project_id, {EXPLAIN} audit_explanation FROM k_fused")

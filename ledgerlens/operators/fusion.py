@@ -331,8 +331,11 @@ def _optional(c: Column, *parts: Column) -> Column:
     return F.when(c.isNotNull(), F.concat(*parts)).otherwise("")
 
 
-def risk_factors(df: DataFrame, brief: bool = False) -> Column:
-    """Sentences for the raised engines, or one nominal sentence; ``brief`` is the reason generator's wording."""
+def risk_factors(df: DataFrame, brief: bool = False, shown: int | None = None) -> Column:
+    """Sentences for the raised engines, or one nominal sentence; ``brief`` is the reason generator's wording.
+
+    ``shown`` cuts the list of drivers to so many characters, for display.
+    """
     z, days = _has(df, "cost_z_score").cast("double"), _has(df, "predicted_completion_days").cast("long")
     rules = F.coalesce(_has(df, "rules_triggered"), _has(df, "rule_ids_triggered"), F.lit("Rules Triggered"))
     rule_count = F.coalesce(_has(df, "rule_count"), _has(df, "rule_event_count"), F.lit(1)).cast("long").cast("string")
@@ -377,7 +380,7 @@ def risk_factors(df: DataFrame, brief: bool = False) -> Column:
             F.when(
                 _raised("iforest", 0.5),
                 F.concat(F.lit(words[4]),
-                         F.when(drivers != "", F.concat(F.lit(" [Drivers: "), F.left(drivers, F.lit(80)), F.lit("...]"))).otherwise("")),
+                         F.when(drivers != "", F.concat(F.lit(" [Drivers: "), *([drivers, F.lit("]")] if shown is None else [F.left(drivers, F.lit(shown)), F.lit("...]")]))).otherwise("")),
             ),
         )
     )
@@ -445,6 +448,7 @@ def fuse(signals: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
             "audit_explanation": audit_explanation(overall, F.col("risk_category"), F.col("__signals")),
             "top_risk_signals": F.array_join("__signals", "; "),
             "risk_factors": F.to_json("__factors"),
+            "risk_factors_shown": F.to_json(risk_factors(df, shown=80)),
         }
     )
     df = df.withColumn("evidence_payload", evidence_payload(weights))

@@ -10,17 +10,20 @@ from ledgerlens.session import materialize
 
 
 def competition_rank(df: DataFrame, score: str, name: str) -> DataFrame:
-    """1 = highest, ties share the lowest rank.
+    """1 = highest, ties share the lowest rank; null scores have none.
 
-    Scores lie in [0, 1] with four decimals, so there are at most 10,001 of them: rows are counted per
-    score, ranks are a running sum over that small table, and the table is broadcast back.
+    Rows are counted per score, which combines before the shuffle, and the different scores are range-sorted: a score's rank is the rows
+    of the parts before its own and those above it in its part. Each score is in one part, so ties need no further care.
     """
-    grid = F.rint(F.col(score) * 10_000).cast("int")
-    scored = df.withColumn("__grid", grid)
-    counts = scored.groupBy("__grid").agg(F.count("*").alias("__c"))
-    above = Window.orderBy(F.desc("__grid")).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select("__grid", (F.coalesce(F.sum("__c").over(above), F.lit(0)) + 1).alias(name))
-    return scored.join(F.broadcast(ranks), "__grid", "left").drop("__grid")
+    counts = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("__score")).agg(F.count("*").alias("__c"))
+    ordered = materialize(counts.orderBy(F.desc("__score")).withColumn("__part", F.shiftright(F.monotonically_increasing_id(), 33)), "scores")
+    above = Window.partitionBy("__part").orderBy(F.desc("__score")).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ordered.groupBy("__part").agg(F.sum("__c").alias("__rows"))
+    offsets = F.broadcast(sizes.select("__part", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before")))  # one row per part of the sort
+    rank = (F.col("__before") + F.coalesce(F.sum("__c").over(above), F.lit(0)) + 1).alias(name)
+    ranks = materialize(ordered.join(offsets, "__part").select("__score", rank), "ranks")
+    return df.join(ranks, df[score] == ranks["__score"], "left").drop("__score")
 
 
 def sequence_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:

@@ -184,6 +184,13 @@ def test_trends_alerts_priority(spark):
     assert sorted(r["investigation_rank"] for r in ranked.values()) == [1, 2, 3] and ranked["H"]["investigation_rank"] == 1
 
 
+def test_ranks_of_scores_that_differ_little(spark):
+    scores = [0.5, 0.5 + 1e-9, 0.5 - 1e-9, 0.5, None, 3e5, -1.0, 0.5 + 1e-9] + [0.25] * 500
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(scores)], "i int, s double").repartition(6)
+    got = {r["i"]: r["r"] for r in ranking.competition_rank(df, "s", "r").collect()}
+    assert got == {i: None if x is None else 1 + sum(y is not None and y > x for y in scores) for i, x in enumerate(scores)}
+
+
 def test_quantiles_of_one_huge_group(spark, monkeypatch):
     """Rounds of counts until a bracket holds few values: ties, far outliers, nearly equal values, and small groups beside."""
     import numpy as np
