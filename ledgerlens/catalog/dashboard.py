@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ledgerlens.catalog.master import features_of, master_of
 from ledgerlens.catalog.registry import R, query
 from ledgerlens.functions.numbers import rounded
-from ledgerlens.operators import agency, dashboard, master
+from ledgerlens.operators import agency, dashboard, master, ranking
 from ledgerlens.operators.quality import union_all
 from ledgerlens.operators.ranking import sequence_rank
 from ledgerlens.sources.files import event_history
@@ -113,9 +113,8 @@ def a21(t):
     struct_pack(m:=-payment_risk_score,n:='payment'),struct_pack(m:=-rule_risk_score,n:='rule'),struct_pack(m:=-iforest_risk_score,n:='iforest')],lambda x: x.m<=0))[1:3],lambda x: x.n),';') top FROM r_risk""",
 )
 def w06(t):
-    entries = [F.when(F.col(f"{e}_available"), F.struct((-F.col(f"{e}_risk_score")).alias("m"), F.lit(e).alias("n"))) for e in ("cost", "delay", "payment", "rule", "iforest")]
-    best = F.slice(F.array_sort(F.array_compact(F.array(*entries))), 1, 3)
-    return t.risk.select("project_id", F.array_join(F.transform(best, lambda x: x["n"]), ";").alias("top"))
+    scores = {e: F.when(F.col(f"{e}_available"), F.col(f"{e}_risk_score")) for e in ("cost", "delay", "payment", "rule", "iforest")}
+    return t.risk.select("project_id", F.array_join(ranking.top_in_row(scores, 3), ";").alias("top"))
 
 
 SHOWN = "project_id, mp_name, state, overall_risk_score, risk_category"

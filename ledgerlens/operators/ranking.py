@@ -49,6 +49,12 @@ def top_rows(df: DataFrame, order: list[Column], n: int, name: str | None = None
     return top if name is None else top.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
+def top_in_row(values: dict[str, Column], n: int) -> Column:
+    """Names of a row's ``n`` largest values, largest first and equal ones by name; nulls are left out."""
+    entries = [F.when(v.isNotNull(), F.struct((-v).alias("m"), F.lit(name).alias("n"))) for name, v in values.items()]
+    return F.transform(F.slice(F.array_sort(F.array_compact(F.array(*entries))), 1, n), lambda x: x["n"])
+
+
 def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Per key the row that is last in ``order``; an aggregate, so repeats combine before the shuffle."""
     return _keep(df, keys, order, F.max_by)

@@ -101,6 +101,25 @@ def test_hash_pairs_match_brute_force(spark):
     assert got == want
 
 
+def test_hash_pairs_of_crowded_keys(spark, monkeypatch):
+    """Many hashes share most bits, so that every key is crowded and cut again."""
+    import random
+
+    monkeypatch.setattr(hashes, "CROWD", 20)
+    r = random.Random(6)
+    base, found = r.getrandbits(62), set()
+    while len(found) < 120:
+        flipped = base
+        for bit in r.sample(range(63), r.randint(0, 6)):
+            flipped ^= 1 << bit
+        found.add(flipped)
+    rows = [(i, str(i % 7), h) for i, h in enumerate(sorted(found))]
+    df = spark.createDataFrame(rows, "item_id int, project_id string, item_hash long")
+    got = {(x["item_hash_a"], x["item_hash_b"]) for x in hashes.cross_project_duplicates(df).filter("hamming > 0").collect()}
+    project = {h: p for _, p, h in rows}
+    assert got == {(a, b) for a, b in itertools.combinations(sorted(project), 2) if bin(a ^ b).count("1") <= 5 and project[a] != project[b]}
+
+
 def haversine(a, b):
     p, q = math.radians(a[0]), math.radians(b[0])
     x = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
