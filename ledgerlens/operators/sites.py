@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -144,7 +145,7 @@ def _in_leaves(radii: Sequence[float]):
                 held = x.column("held")[i].values
                 site, lat, lon, n = (held.field(c).to_numpy(zero_copy_only=False) for c in ("site", "lat", "lon", "n"))
                 low = held.field("low")
-                order = np.array(pa.compute.sort_indices(low))  # of equal distances the first, that is the smallest id
+                order = np.array(pc.sort_indices(low))  # of equal distances the first, that is the smallest id
                 site, lat, lon, n, low = site[order], lat[order], lon[order], n[order], low.take(pa.array(order))
                 for at in range(0, len(site), 512):
                     km = distance_km(lat[at : at + 512, None], lon[at : at + 512, None], lat[None], lon[None])
@@ -155,7 +156,7 @@ def _in_leaves(radii: Sequence[float]):
                     near = km[rows, best]
                     cut = slice(at, at + 512)
                     counts = pa.array(np.stack(within, axis=1).tolist() if radii else [[]] * len(km), pa.list_(pa.int64()))
-                    columns = [pa.array(site[cut]), pa.array(lat[cut]), pa.array(lon[cut]), pa.array(near), pa.compute.if_else(pa.array(np.isfinite(near)), low.take(pa.array(best)), None), counts]
+                    columns = [pa.array(site[cut]), pa.array(lat[cut]), pa.array(lon[cut]), pa.array(near), pc.if_else(pa.array(np.isfinite(near)), low.take(pa.array(best)), None), counts]
                     area = pa.array(np.full(len(km), x.column("area")[i].as_py()))
                     leaf = pa.array(np.full(len(km), x.column("leaf")[i].as_py()))
                     yield pa.RecordBatch.from_arrays([area, leaf, *columns], names=["area", "leaf", "site", "lat", "lon", "km", "low", "counts"])
@@ -226,7 +227,7 @@ def _answered(radii: Sequence[float]):
                 asked, held = x.column("asked")[i].values, x.column("held")[i].values
                 get = lambda v, c: v.field(c).to_numpy(zero_copy_only=False)
                 lat, lon, n, low = get(held, "lat"), get(held, "lon"), get(held, "n"), held.field("low")
-                order = np.array(pa.compute.sort_indices(low))
+                order = np.array(pc.sort_indices(low))
                 lat, lon, n, low = lat[order], lon[order], n[order], low.take(pa.array(order))
                 site, bits, reach = get(asked, "site"), get(asked, "bits"), get(asked, "reach")
                 for at in range(0, len(site), 512):
@@ -237,7 +238,7 @@ def _answered(radii: Sequence[float]):
                     beats = near <= reach[cut] + 1e-9
                     within = np.stack([((km <= r) @ n) * (bits[cut] >> k & 1) for k, r in enumerate(radii)], axis=1).tolist() if radii else [[]] * len(km)
                     near = pa.array(np.where(beats, near, np.inf))
-                    columns = [pa.array(site[cut]), near, pa.compute.if_else(pa.array(beats), low.take(pa.array(best)), None), pa.array(within, pa.list_(pa.int64()))]
+                    columns = [pa.array(site[cut]), near, pc.if_else(pa.array(beats), low.take(pa.array(best)), None), pa.array(within, pa.list_(pa.int64()))]
                     yield pa.RecordBatch.from_arrays(columns, names=["site", "km", "low", "counts"])
 
     return of
