@@ -143,10 +143,8 @@ def _vectors(counts: DataFrame, vocabulary: DataFrame, sublinear: bool) -> DataF
     """One row per text with a usable term."""
     tf = 1 + F.log("tf") if sublinear else F.col("tf").cast("double")
     raw = counts.join(vocabulary.select("term", "id", "idf"), "term").select("text_id", "copies", "id", (tf * F.col("idf")).alias("raw"))
-    listed = raw.groupBy("text_id", "copies").agg(F.array_sort(F.collect_list(F.struct("id", "raw"))).alias("__v"))
-    norm = F.sqrt(F.aggregate("__v", F.lit(0.0), lambda acc, e: acc + e["raw"] * e["raw"]))
-    out = listed.withColumn("__norm", norm).select("text_id", "copies", F.col("__v.id").alias("ids"), F.transform("__v", lambda e: e["raw"] / F.col("__norm")).alias("weights"))
-    return materialize(out.withColumn("doc", F.monotonically_increasing_id()), "vectors")
+    listed = raw.groupBy("text_id", "copies").agg(F.sort_array(F.collect_list(F.struct("id", "raw"))).alias("v"))
+    return materialize(sparse.unit_vectors(listed, "id", "raw").withColumn("doc", F.monotonically_increasing_id()), "vectors")
 
 
 def query_vectors(queries: DataFrame, model: TfIdf) -> DataFrame:
