@@ -255,7 +255,8 @@ def similar_pairs(rows: DataFrame, width: int = 5, similarity: float = 0.8, crow
     """Links ``a, b`` between different nodes of ``rows`` (``node, text``; equal nodes have equal texts) whose ``width``-word shingle
     sets are ``similarity`` alike; their transitive closure is that of all such pairs among the candidates.
 
-    Candidates come from deletion-variant signatures: five fingerprints of 16 digits over min-hashes of the shingles, each cut into two
+    Texts whose SimHashes are at most 3 bits apart are candidates, found by the deletion variants of the SimHash (``links``). Edits that
+    move more bits are found by deletion variants of finer signatures: five fingerprints of 16 digits over min-hashes of the shingles, each cut into two
     halves; a half is indexed once for each of its 8 digits with that digit wild, and variants meet by equality. Two texts that are J
     alike agree in a digit with probability g = J + (1 - J) / 16, whichever shingles differ, and are missed by all ten halves with
     probability (1 - g^8 - 8 g^7 (1 - g))^10: 0.0004 at 0.8 and less above. A sketch of the 80 min-hashes sorts out candidates
@@ -276,7 +277,8 @@ def similar_pairs(rows: DataFrame, width: int = 5, similarity: float = 0.8, crow
         first = F.min(F.struct(F.xxhash64("node", "band").alias("order"), "node"))["node"]
         heads = materialize(members.groupBy("band").agg(F.count("*").alias("n"), first.alias("head")).where("n > 1"), "heads")
         met = materialize(members.join(heads.hint("merge"), "band"), "met")
-        pairs = met.where("node != head").select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct()
+        pairs = met.where("node != head").select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b"))
+        pairs = (pairs if level else pairs.union(_print_pairs(texts))).distinct()
         checked = _alike(_close(pairs, marks, similarity), texts, width, similarity)
         found = checked if found is None else materialize(found.union(checked), "found")
         roots = materialize(components(found), "roots")
@@ -296,6 +298,18 @@ def similar_pairs(rows: DataFrame, width: int = 5, similarity: float = 0.8, crow
             return found
 
 
+def _print_pairs(texts: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` that connect all nodes whose SimHashes are equal or linked by at most 3 bits."""
+    prints = materialized_fingerprints(texts, "node")
+    heads = materialize(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("head")), "print-heads")
+    found = prints.join(heads, "fingerprint").where("doc_id != head").select(F.col("doc_id").alias("x"), F.col("head").alias("y"))
+    met = links(heads.select(F.col("fingerprint").alias("fp")))
+    for end in ("a", "b"):
+        met = met.join(heads.select(F.col("fingerprint").alias(end), F.col("head").alias(f"head_{end}")), end)
+    found = found.union(met.select("head_a", "head_b"))
+    return found.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+
+
 def _members(marks: DataFrame, level: int) -> DataFrame:
     """``band, node`` for each one-wildcard variant of each row's segments."""
     kind = marks.schema["node"].dataType.simpleString()

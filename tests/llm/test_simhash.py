@@ -91,6 +91,21 @@ def test_keep_one(spark):
     assert simhash.keep_one(no_docs(spark)).collect() == []
 
 
+def test_keep_one_takes_candidates_from_simhashes(spark, monkeypatch):
+    """Near copies within 3 bits go by their SimHashes alone; the finer signatures only add to them."""
+    rng = random.Random(9)
+    rows = []
+    for k in range(20):
+        w = words(rng, 1500).split()
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join([*w[:700], "changed", *w[701:]]))]
+    prints = [np.uint64(simhash.fingerprint(text) & (1 << 64) - 1) for _, text in rows]
+    close = [k for k in range(20) if np.bitwise_count(prints[2 * k] ^ prints[2 * k + 1]) <= 3]
+    assert len(close) > 10
+    monkeypatch.setattr(simhash, "_members", lambda marks, level: marks.selectExpr("0L band", "node").where("false"))
+    got = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i for i, _ in rows} - {2 * k + 1 for k in close}
+
+
 def edited(rng, w, kind, share):
     """A copy of the words that differs in one of the ways that texts do."""
     n = round(len(w) * share)
