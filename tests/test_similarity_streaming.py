@@ -226,3 +226,23 @@ def test_registry_strictness(spark, tmp_path):
         registry.load_table("base_projects")
     with pytest.raises(KeyError):
         registry.load_table("nothing", strict=True)
+
+
+def test_terms_are_counted_in_the_row_of_their_text(spark, monkeypatch):
+    rows = [("x", 1, "Canal the wall canal wall canal"), ("x", 1, "e f"), ("y", 1, None), ("z", 2, "of the"), (None, 1, "p q p q"), ("x", 2, "e f"), ("long", 1, "a b " * 300)]
+    stop = ["the", "of"]
+    want = {}
+    for text_id, copies, text in rows:
+        words = [w for w in (text or "").lower().split() if w not in stop]
+        for n in (1, 2, 3):
+            for i in range(len(words) - n + 1):
+                key = (text_id, copies, " ".join(words[i : i + n]))
+                want[key] = want.get(key, 0) + 1
+    texts = spark.createDataFrame(rows, "text_id string, copies long, text string").repartition(2)
+    for limit in (3, 1 << 17):
+        monkeypatch.setattr(similarity, "WORDS", limit)
+        counts = similarity.term_counts(texts, stop, 3)
+        got = [(r.text_id, r.copies, r.term, r.tf) for r in counts.collect()]
+        assert {k[:3]: k[3] for k in got} == want and len(got) == len(want)
+    # a text's n-grams are not made one row each before they are counted
+    assert "Generate" not in counts._jdf.queryExecution().executedPlan().toString()
