@@ -8,7 +8,7 @@ that is too far is left, and only leaves that may hold a nearer site, or that a
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +25,8 @@ LEVELS = (0, 4, 8, 12, 16, 20, 24)
 LEAF = 512
 #: The tree is sent to the tasks, so it has at most about this many leaves; leaves of larger tables are larger.
 MOST = 16_000
+#: About how many sites' leaves a task has in Python at a time; and how many sites go down the tree together.
+HELD, TOGETHER = 1 << 16, 512
 FAR = float(np.pi * EARTH_KM)
 
 
@@ -204,8 +206,8 @@ def _within(box: np.ndarray, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
 def _asked(tree: Tree, radii: Sequence[float]):
     def of(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in parts:
-            for at in range(0, whole.num_rows, 4096):
-                x = whole.slice(at, 4096)
+            for at in range(0, whole.num_rows, TOGETHER):
+                x = whole.slice(at, TOGETHER)
                 get = lambda c: x.column(c).to_numpy(zero_copy_only=False)  # noqa: B023, E731
                 site, lat, lon = get("site"), get("lat"), get("lon")
                 who, cell, bits, reach, counted = descend(tree, get("area"), get("leaf"), lat, lon, get("km"), radii)
@@ -244,6 +246,11 @@ def _answered(radii: Sequence[float]):
     return of
 
 
+def _by_group(of: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[pa.Table], pa.Table]:
+    """``of`` for the rows of one group, so that Python holds a group and not a batch of 10,000 rows of lists."""
+    return lambda table: pa.Table.from_batches(of(iter(table.combine_chunks().to_batches())))
+
+
 def nearest_sites(sites: DataFrame, radii: Sequence[float] = ()) -> DataFrame:
     """``site, km, low, counts`` for ``sites`` (``site, area, lat, lon, n, low``; different places within an area).
 
@@ -261,7 +268,8 @@ def nearest_sites(sites: DataFrame, radii: Sequence[float] = ()) -> DataFrame:
 
     leafed = sites.select("area", *kept).mapInArrow(placed, "leaf long, area long, site long, lat double, lon double, n long, low string")
     leaves = materialize(leafed.groupBy("leaf", "area").agg(F.collect_list(F.struct(*kept)).alias("held")), "leaves")
-    own = leaves.mapInArrow(_in_leaves(radii), "area long, leaf long, site long, lat double, lon double, km double, low string, counts array<long>")
+    parts = F.pmod(F.xxhash64("leaf", "area"), F.lit(-(-sites.count() // HELD) or 1)).alias("part")
+    own = leaves.groupBy(parts).applyInArrow(_by_group(_in_leaves(radii)), "area long, leaf long, site long, lat double, lon double, km double, low string, counts array<long>")
     own = materialize(own, "own")
     found = own.select("site", "km", "low", "counts")
     if len(tree.areas):
@@ -270,8 +278,9 @@ def nearest_sites(sites: DataFrame, radii: Sequence[float] = ()) -> DataFrame:
         asked = materialize(asked, "asked")
         lists = with_blocks(asked.where("leaf is not null").drop("counts"), ["leaf"], F.col("site")).groupBy("leaf", "__block")
         lists = lists.agg(F.collect_list(F.struct("site", "lat", "lon", "bits", "reach")).alias("asked"))
-        met = lists.join(leaves.where("leaf >= 0").select("leaf", "held").hint("merge"), "leaf").select("asked", "held")
-        found = found.unionByName(met.mapInArrow(_answered(radii), "site long, km double, low string, counts array<long>"))
+        # the join has placed the rows by leaf, so grouping them shuffles nothing
+        met = lists.join(leaves.where("leaf >= 0").select("leaf", "held").hint("merge"), "leaf").groupBy("leaf", "__block")
+        found = found.unionByName(met.applyInArrow(_by_group(_answered(radii)), "site long, km double, low string, counts array<long>"))
         whole = asked.where("counts is not null").select("site", F.lit(float("inf")).alias("km"), F.lit(None).cast("string").alias("low"), "counts")
         found = found.unionByName(whole)
     sums = [F.sum(F.get("counts", F.lit(k))).alias(f"__{k}") for k in range(len(radii))]

@@ -64,3 +64,30 @@ def test_box_bounds_hold():
         inside = sites.distance_km(lat, lon, rng.uniform(*a, 300), rng.uniform(*b, 300))
         corners = sites.distance_km(lat, lon, a[[0, 0, 1, 1]], b[[0, 1, 0, 1]])
         assert low[0] <= min(inside.min(), corners.min()) and high[0] >= max(inside.max(), corners.max())
+
+
+def test_python_holds_few_lists_at_a_time(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(sites, "LEAF", 4)
+    monkeypatch.setattr(sites, "HELD", 64)
+    for name in ("_in_leaves", "_answered"):
+
+        def counted(radii, of=getattr(sites, name)):
+            def run(parts):
+                for x in parts:
+                    seen.add(int(sum(len(v) for v in x.column("held").to_pylist()) > 400))
+                    yield from of(radii)(iter([x]))
+
+            return run
+
+        monkeypatch.setattr(sites, name, counted)
+    rng = random.Random(9)
+    at = [(rng.uniform(10, 11), rng.uniform(70, 71)) for _ in range(1500)]
+    rows = [(i, 0, lat, lon, 1, f"P{i:04d}") for i, (lat, lon) in enumerate(at)]
+    df = spark.createDataFrame(rows, "site long, area long, lat double, lon double, n long, low string").repartition(2)
+    got = {x["site"]: x for x in sites.nearest_sites(df, [3.0]).collect()}
+    assert len(got) == len(rows) and seen.value == 0
+    for i in range(0, 1500, 100):
+        far = [haversine(at[i], b) for b in at]
+        assert got[i]["km"] == pytest.approx(min(far[:i] + far[i + 1 :]), abs=1e-6)
+        assert list(got[i]["counts"]) == [sum(x <= 3.0 for x in far)]
