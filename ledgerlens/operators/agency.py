@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.numbers import clip, finite, fixed, ladder, rounded, tags
 from ledgerlens.operators.quantiles import group_quantiles, join_null_safe
+from ledgerlens.session import materialize
 
 # Weights of delay, incompletion, finance, payment friction and anomalies.
 WEIGHTS = (0.28, 0.24, 0.20, 0.16, 0.12)
@@ -60,7 +61,9 @@ def project_performance(df: DataFrame, agency: str) -> DataFrame:
     count = lambda name: F.sum(finite(F.col(name), 0)).cast("long") if name else F.lit(0).cast("long")
     use = F.when(spent > 0, spent / F.when(budget > 0, budget).otherwise(1.0) * 100).otherwise(100.0)
     days = finite(F.col("delay_days"), 0) if "delay_days" in df.columns else None
-    rows = df.filter(F.col(agency).isNotNull()).withColumn("__spent", spent)
+    used = {agency, "agency_id", "agency_name", "recommended_amount", "total_expenditure", "is_completed", "pending_payment_count", "delay_days", anomaly, risky, late}
+    # read for the sums, the sketch and the band of the medians
+    rows = materialize(df.filter(F.col(agency).isNotNull()).select(*[c for c in df.columns if c in used], spent.alias("__spent")), "projects")
     label = lambda name: F.min(name) if name in df.columns else F.first(F.col(agency))
     stats = rows.groupBy(F.col(agency).alias("__agency")).agg(
         label("agency_id").cast("string").alias("agency_id"),
