@@ -6,6 +6,7 @@ from ledgerlens.catalog.master import features_of
 from ledgerlens.catalog.registry import R, cte, query
 from ledgerlens.functions.numbers import rounded
 from ledgerlens.operators import ranking, rules
+from ledgerlens.session import materialize
 from ledgerlens.sources.testtables import AS_OF
 
 
@@ -304,7 +305,8 @@ def r18(t):
     FROM k_roll JOIN k_feat USING (project_id)""",
 )
 def r19(t):
-    roll = rollup_of(t)
+    # the handoff and the similarity result are cut from the same projects
+    roll = materialize(rollup_of(t), "rollup")
     # works with few payments have their result under another id, so they find none
     other = F.when(F.col("payment_count") > 4, F.col("project_id")).otherwise(F.concat("project_id", F.lit("|other")))
     similarity = roll.select(other.alias("project_id"), F.lit(0.5).alias("similarity_anomaly_score"), F.lit("MEDIUM_SIMILARITY").alias("similarity_risk_band"))
