@@ -4,24 +4,28 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.arrow import explode_text
-from ledgerlens.llm.tokencount import byte_symbols
+from ledgerlens.llm.tokencount import batches, byte_symbols
 from ledgerlens.session import materialize
 
-BLANK_BEFORE_BLANK = re.compile(r" (?=\s|\Z)")
+SPACES = pa.array(["", *(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace())], pa.string())
+INNER_BLANK = re.compile(r" (?=\s|\Z)(?<=\s )")
 
 
 class ByteBpe:
-    """Ids of whole texts, as the vocabulary file's own library gives them, remembered by blank-led piece of text."""
+    """Ids of whole texts, as the vocabulary file's own library gives them; ``remember`` short beginnings of texts are kept."""
 
     def __init__(self, path: str, remember: int = 200_000):
         with open(path, encoding="utf-8") as file:
@@ -37,33 +41,65 @@ class ByteBpe:
         # the byte-level word pattern (fixed value)
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.encoding = tiktoken.Encoding("byte-bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.bytes_of = np.zeros(max(ranks.values()) + 1, np.int64)
+        for word, i in ranks.items():
+            self.bytes_of[i] = len(word)
         self.added = {w: np.array([i], "<u4").tobytes() for w, i in added.items()}
         self.split = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
-        self.remember, self.young, self.old = remember, {}, {}
+        self._short = lru_cache(remember)(self._fresh)
 
     def _fresh(self, piece: str) -> bytes:
         return np.array(self.encoding.encode_ordinary(piece), "<u4").tobytes()
 
-    def _plain(self, text: str) -> bytes:
-        """A blank starts a new word unless it stands inside a run of white space: elsewhere texts may be cut before it."""
-        if any(m.start() and text[m.start() - 1].isspace() for m in BLANK_BEFORE_BLANK.finditer(text)):
-            return self._fresh(text)
-        first, *rest = text.split(" ")
-        young, old, out = self.young, self.old, [self._fresh(first)]
-        for piece in rest:
-            ids = young.get(piece)
-            if ids is None:
-                ids = young[piece] = old.get(piece) or self._fresh(" " + piece)
-            out.append(ids)
-        if len(young) > self.remember:
-            self.old, self.young = young, {}
-        return b"".join(out)
+    def _parts(self, texts: list[str]) -> tuple[list[bytes], list[str], list[int]]:
+        """The texts' parts (added tokens and what stands between them): each one's head as ids, the rest from its first blank
+        on, and the number of parts up to each text's end. A blank starts a new word unless it stands inside a run of white
+        space: a part with such a blank is all head, elsewhere the head ends before the first blank."""
+        heads, rests, last = [], [], []
+        for t in texts:
+            for k, p in enumerate(self.split.split(t) if self.split and any(w in t for w in self.added) else [t]):
+                head = p if k % 2 or INNER_BLANK.search(p) else p.split(" ", 1)[0]
+                heads.append(self.added[p] if k % 2 else self._short(head) if len(head) <= 32 else self._fresh(head))
+                rests.append(p[len(head) :])
+            last.append(len(rests))
+        return heads, rests, last
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of blank-led words, one after the other, and the number for each, from one call of the library: before a
+        word a blank always starts a new token, so the joined ids fall apart at the words' last bytes."""
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), " ")[0].as_py()
+        ids = np.array(self.encoding.encode_ordinary(" " + joined), "<u4")
+        stops = 1 + np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(1 + pc.binary_length(words).to_numpy()))
+        return ids, np.diff(stops, prepend=0)
+
+    def many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one text after the other, and where each ends; added tokens inside a text have their own id.
+
+        Arrow cuts and numbers the blank-led pieces, so each different one is encoded once, however often it stands there.
+        """
+        heads, rests, last = self._parts(texts)
+        cut = pc.split_pattern(pa.array(rests, pa.string()), " ")
+        numbered = cut.flatten().dictionary_encode()
+        pieces, starts = numbered.dictionary, cut.offsets.to_numpy()
+        # empty pieces and those that begin with white space are encoded alone
+        alone = pc.is_in(pc.utf8_slice_codeunits(pieces, 0, 1), value_set=SPACES)
+        others = heads + [self._fresh(" " + p) for p in pieces.filter(alone).to_pylist()]
+        ids, sizes = self._words(pc.if_else(alone, "x", pieces))
+        ids = np.concatenate([ids, np.frombuffer(b"".join(others), "<u4")])
+        sizes = np.concatenate([sizes, np.fromiter(map(len, others), np.int64, len(others)) // 4])
+        number = np.arange(len(pieces))
+        number[alone.to_numpy(zero_copy_only=False)] = np.arange(len(pieces) + len(heads), len(sizes))
+        item = number[numbered.indices.to_numpy()]
+        item[starts[:-1]] = len(pieces) + np.arange(len(heads))  # nothing stands before a rest's first blank: the head's place
+        # the stretch of ids of every item
+        n = sizes[item]
+        ends = np.cumsum(n)
+        shift = (np.cumsum(sizes) - sizes)[item] - (ends - n)
+        return ids[np.repeat(shift, n) + np.arange(n.sum())], ends[starts[last] - 1]
 
     def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids; added tokens inside the text have their own id."""
-        if self.split is None or not any(w in text for w in self.added):
-            return self._plain(text)
-        return b"".join(self.added.get(p) or self._plain(p) for p in self.split.split(text))
+        """Little-endian unsigned 32-bit ids of one text."""
+        return self.many([text])[0].tobytes()
 
 
 @lru_cache(2)
@@ -79,14 +115,18 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int =
     """
 
     def of(texts: list[str | None]) -> tuple:
-        encoder, end, rows = _encoder(path), np.array([end_id], "<u4").tobytes(), []
-        for i, t in enumerate(texts):
-            ids = encoder.ids(t or "") + end
-            n = len(ids) // 4
-            first = n if n <= capacity else n % capacity or capacity
-            for k, start in enumerate([0, *range(first, n, capacity)]):
-                length = first if k == 0 else capacity
-                rows.append((i, k, start, length, zlib.crc32(memoryview(ids)[4 * start : 4 * (start + length)])))
+        encoder, end, rows, i = _encoder(path), np.array([end_id], "<u4").tobytes(), [], 0
+        for part in batches([t or "" for t in texts]):
+            flat, ends = encoder.many(part)
+            raw, before = memoryview(flat.tobytes()), 0
+            for stop in ends.tolist():
+                ids = bytes(raw[4 * before : 4 * stop]) + end
+                n = stop - before + 1
+                first = n if n <= capacity else n % capacity or capacity
+                for k, start in enumerate([0, *range(first, n, capacity)]):
+                    length = first if k == 0 else capacity
+                    rows.append((i, k, start, length, zlib.crc32(memoryview(ids)[4 * start : 4 * (start + length)])))
+                before, i = stop, i + 1
         at, *found = zip(*rows) if rows else ([],) * 5
         return at, found
 

@@ -1,6 +1,7 @@
 import hashlib
 import zlib
 from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -63,6 +64,25 @@ def test_byte_ids_equal_the_library(text):
     assert np.frombuffer(ENCODER.ids(text), "<u4").tolist() == BYTE_LIBRARY.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.one_of(TEXT, st.sampled_from(["<|endoftext|>", "  ", " \n", "the word "])), max_size=4).map("".join), min_size=1, max_size=8))
+def test_byte_ids_of_many_texts(texts):
+    flat, ends = ENCODER.many(texts)
+    got = [x.tolist() for x in np.split(flat, ends)]
+    assert got == [*[BYTE_LIBRARY.encode(t, add_special_tokens=False).ids for t in texts], []]
+
+
+def test_different_pieces_are_encoded_together_and_once():
+    encoder, calls = packing.ByteBpe(BYTES), []
+    encode = encoder.encoding.encode_ordinary
+    encoder.encoding = SimpleNamespace(encode_ordinary=lambda piece: calls.append(piece) or encode(piece))
+    texts = ["All of " + " ".join(f"unwonted{i * j % 997}\nword" for j in range(200)) + " end" for i in range(300)]
+    got = [x.tolist() for x in np.split(*encoder.many(texts))]
+    assert got == [*[BYTE_LIBRARY.encode(t, add_special_tokens=False).ids for t in texts], []]
+    # one call a piece took most of the time
+    assert len(calls) <= 5 and sum(map(len, calls)) < sum(map(len, texts)) / 20
+
+
 COUNTER, LIBRARY = tokencount.WordBpe(WORDS, remember=50), Tokenizer.from_file(WORDS)
 ENCODER, BYTE_LIBRARY = packing.ByteBpe(BYTES, remember=50), Tokenizer.from_file(BYTES)
 
