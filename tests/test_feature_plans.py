@@ -61,3 +61,14 @@ def test_detectors_read_the_features_from_parquet(spark):
     for name in ("D09_cost_composite", "D13_delay_model"):
         plan = plan_of(load_all()[0][name](spark, "/root/testdata/sf0.001"))
         assert "ExistingRDD" not in plan and "vendor_project_count" not in plan
+
+
+def test_alerts_compute_the_features_once(spark, monkeypatch):
+    """Trends read their rows several times: for the sketch of the medians, the medians and the join."""
+    made, read = [], Tables.read
+    monkeypatch.setattr(Tables, "read", lambda self, name: made.append(name) or read(self, name))
+    for name in ("E07_alerts", "E03_runaway_velocity"):
+        out = load_all()[0][name](spark, "/root/testdata/sf0.001")
+        plan = plan_of(out)
+        assert made and "lineitem" not in plan and "l_orderkey" not in plan
+        assert out.count() > 0
